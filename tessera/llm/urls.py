@@ -7,8 +7,7 @@ rules that a shorter one makes needless, are pruned. The rest are matched by an
 index from token to rules: a rule applies when the tokens of a URL reach it as often as it
 has tokens. Everything is built-in DataFrame operations.
 
-A URL has at most ``MAX_TOKENS`` distinct tokens in a transaction's length only by its own
-length; frequent tokens number at most (mean tokens per URL) / ``min_support``, so the index
+Frequent tokens number at most (mean tokens per URL) / ``min_support``, so the index
 has a proven bound and travels inside the plan.
 """
 
@@ -24,6 +23,8 @@ BAD = "=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
+#: URLs that must bear a rule out, however few are labelled.
+MIN_COUNT = 10
 
 
 @dataclass(frozen=True)
@@ -83,12 +84,13 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Mined]:
-    """Rules from rows with a URL and a boolean label. No rows or no bad rows: no rules."""
+    """Rules from rows with a URL and a boolean label. Fewer than ``MIN_COUNT`` bad rows: no rules."""
     items = labelled.filter(F.col(bad).isNotNull()).select(F.concat(tokens_of(F.col(url)), F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).filter(F.size("items") > 0)
     seen = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
-    if not seen["bad"]:
+    support = max(min_support, MIN_COUNT / max(seen["n"], 1))
+    if seen["bad"] < MIN_COUNT or support > 1:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.sort_array("antecedent").alias("tokens"), "support", "confidence")
     rules = sorted((Mined(tuple(r["tokens"]), r["support"], r["confidence"]) for r in found.collect()), key=lambda r: (len(r.tokens), -r.confidence, r.tokens))
     kept: list[Mined] = []
