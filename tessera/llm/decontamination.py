@@ -223,8 +223,10 @@ def _nystrom(z: np.ndarray, draw: np.ndarray, rank: int) -> np.ndarray:
     if not good.any():
         return np.zeros((len(z), 1))
     root = z @ (vectors[:, good] / np.sqrt(values[good]))
-    u, s, _ = np.linalg.svd(root, full_matrices=False)
-    return u[:, : min(rank, int((s > s[0] * 1e-7).sum()))]
+    # its left singular vectors, by the small Gram matrix
+    square, turn = np.linalg.eigh(root.T @ root)
+    keep = np.flatnonzero(square > square.max() * 1e-10)[::-1][:rank]
+    return root @ (turn[:, keep] / np.sqrt(square[keep]))
 
 
 def common(item: np.ndarray, other: np.ndarray) -> int:

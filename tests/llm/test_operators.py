@@ -1,0 +1,430 @@
+"""Operators against brute force, round trips, held-out labels and odd inputs."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import components, decontamination, html_text, langid, mixing, quality, queries, rangecoder, sharding, simhash, tokens, urls
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+ODD = [
+    (1, "The cat sat on the mat and it was of the day. " * 30, "en", "a", 5),
+    (2, None, "en", None, None),
+    (3, "", None, "b", 0),
+    (None, " \t\n", "en", "a", 3),
+    (4, "ß É ñ\n\nword", "de", "ä", 9),
+    (4, "ß É ñ\n\nword", "de", "ä", 9),
+    (5, "x " * 40_000, "en", "a", 80_000),
+    (6, "The cat sat on the mat and it was of the day. " * 30, "en", "c", 5),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def docs_of(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+# -- 1: token ids
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 129, 3000, 70_001])
+@pytest.mark.parametrize("kind", ["uniform", "skewed", "same"])
+def test_codec_round_trip(n, kind):
+    rng = np.random.default_rng(n)
+    ids = {"uniform": rng.integers(0, 50_257, n), "skewed": rng.zipf(1.2, n) % 50_257, "same": np.full(n, 7)}[kind]
+    block = rangecoder.pack([5, None], [n, 0], ids, 50_257)
+    keys, counts, back = rangecoder.unpack(block)
+    assert keys == [5, None] and counts.tolist() == [n, 0] and (back == ids).all()
+
+
+def test_codec_detects_damage():
+    block = bytearray(rangecoder.pack([1], [50], np.arange(50), 100))
+    block[-1] ^= 1
+    with pytest.raises(ValueError):
+        rangecoder.unpack(bytes(block))
+
+
+def test_codec_compresses_repetition():
+    ids = np.tile(np.random.default_rng(0).integers(0, 50_257, 300), 400)
+    assert len(rangecoder.pack([0], [len(ids)], ids, 50_257)) < len(ids) * 2 / 4
+
+
+def test_encoder_equals_library():
+    e = tokens.encoder(tokens.tokenizer_path())
+    for t in ["", "a  b", "  x", "a \n b", "a\n\n  b c", "it's 's don't’s x1y2 ²³ é́a 12ab", "a\tb  \n", "\x1c a", "a\u00a0b\u3000c", "<|endoftext|> a", "end ", "日本 語x ab1c d'll"]:
+        want = e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(e.ids(t), "<u4").tolist() == want, repr(t)
+
+
+def test_token_files_round_trip(spark, sf, odd, tmp_path):
+    e = tokens.encoder(tokens.tokenizer_path())
+    for i, df in enumerate((docs_of(spark, sf), odd)):
+        where = str(tmp_path / str(i))
+        tokens.write_tokens(df, where, block=20_000)
+        got = tokens.read_tokens(spark, where).orderBy("start").collect()
+        rows = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+        assert [g.doc_id for g in got] == [r.doc_id for r in rows]
+        at = 0
+        for g in got:
+            assert g.start == at and g.n_tokens == len(g.ids)
+            at += g.n_tokens
+        want = Counter((r.doc_id, zlib.crc32(e.ids(r.text) + np.array([2], "<u4").tobytes())) for r in rows)
+        digest = tokens.read_tokens(spark, where, digest=True)
+        assert Counter((g.doc_id, g.ids_crc32) for g in digest.collect()) == want
+
+
+def test_token_files_empty(spark, empty, tmp_path):
+    tokens.write_tokens(empty, str(tmp_path / "e"))
+    assert tokens.read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+# -- 2: pages
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav><!-- x --><div class="ad">Buy, now, or, never.</div>
+<article><h1>Title &amp; more</h1><p>First   paragraph, with<br>a break, and &eacute;.<p>Second paragraph, <b>bold</b> text here.
+<form><p>Sign up, please, now.</p></form><ul><li>one, item</li><li>two</li></ul><aside>Aside text, of no use.</aside></article>
+<section id="comments"><article class="comment"><p>Nice, really, nice, post, I, think, so.</p></article></section>
+<footer>&copy; me</footer></body></html>"""
+
+
+def test_article_text():
+    assert html_text.extract(PAGE) == "Title & more\n\nFirst paragraph, with a break, and é.\n\nSecond paragraph, bold text here.\n\none, item\n\ntwo"
+
+
+def test_page_without_article():
+    page = '<body><div id=menu><a href=1>a</a></div><div class=wrap><div class="story-body"><p>' + "Some words, and more of them. " * 5 + "</p><p>Tail, short.</p></div></div><div class=sidebar><p>Other words, not these.</p></div>"
+    assert html_text.extract(page) == ("Some words, and more of them. " * 5).strip() + "\n\nTail, short."
+
+
+def test_odd_pages(spark):
+    deep = "<div>" * 3000 + "<p>deep words, here</p>"
+    pages = [None, "", "plain text only", "<p>cut <b", "<p>a &am", "</p></div>", deep, "<nav><a>x</a>", "<script>never closed"]
+    df = spark.createDataFrame([(i, p, "n", 3) for i, p in enumerate(pages)], "page_id int, html string, text string, n_chars int")
+    got = {r.page_id: r for r in html_text.main_text(df).collect()}
+    assert [got[i].text for i in range(9)] == ["", "", "plain text only", "cut", "a &am", "", "deep words, here", "", ""]
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_pages_of_the_data(spark, sf):
+    for r in html_text.main_text(spark.read.parquet(f"{sf}/pages.parquet")).limit(30).collect():
+        assert r.text and "track(" not in r.text and "©" not in r.text and "<p>" not in r.text
+
+
+# -- 3: mixing
+
+
+def test_targets():
+    got = mixing.targets([("b", 100), ("a", 10), (None, 50)])
+    assert got["a"] == 20 and math.isclose(sum(got.values()), 240) and got["b"] <= 200 and got[None] <= 100
+    assert mixing.targets([]) == {}
+    assert mixing.targets([("z", 0)]) == {"z": 0}
+
+
+def test_mix(spark, sf, odd, empty):
+    df = docs_of(spark, sf)
+    got = mixing.mix(df, mixing.word_count(F.col("text"))).toPandas()
+    again = mixing.mix(df.repartition(5), mixing.word_count(F.col("text"))).toPandas()
+    assert sorted(got[["doc_id", "taken"]].values.tolist()) == sorted(again[["doc_id", "taken"]].values.tolist())
+    assert (got.taken <= 2 * got["size"]).all() and len(got) == df.count()
+    source = {r.doc_id: r.source for r in df.collect()}
+    got["source"] = got.doc_id.map(source)
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max()
+        assert (g.source_size == g["size"].sum()).all()
+    assert mixing.mix(odd, mixing.word_count(F.col("text"))).count() == len(ODD)
+    assert mixing.mix(empty, mixing.word_count(F.col("text"))).count() == 0
+    assert mixing.mixed(odd, mixing.word_count(F.col("text"))).columns == odd.columns
+
+
+def test_mix_draws_evenly(spark):
+    """Over many seeds a document is taken about as often as its inclusion probability."""
+    df = spark.createDataFrame([(i, "w " * 10, "x" if i % 2 else "y") for i in range(60)], "doc_id bigint, text string, source string")
+    times = Counter()
+    for seed in range(12):
+        for r in mixing.mix(df, F.lit(10).cast("bigint"), seed=seed, share=0.5).collect():
+            times[r.doc_id] += r.copies
+    assert sum(times.values()) == pytest.approx(12 * 30, abs=24) and max(times.values()) < 12
+
+
+# -- 5: URLs
+
+
+def brute_rule(host, path):
+    table = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+    fit = [r for r in table if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    return max(fit, key=len, default=None), table
+
+
+def brute_url(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    return host, path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+
+
+def test_url_rules(spark):
+    found = [None, "", "nothing", "http://", "http://A.Example.ORG/en/1x?q#f", "x://example.org", "http://example.org/es/", "http://myexample.org/es/", "ftp://a.com/fr/y", "https://com/de/", "h://a.com?b=/fr/", "http://É.org/ü", "a\nb://c.org/x\ny", "http://a.b/c://d.org/"]
+    df = spark.createDataFrame([(i, u, "other") for i, u in enumerate(found)], "page_id int, url string, host string")
+    got = {r.page_id: r for r in urls.judge(df, []).collect()}
+    for i, u in enumerate(found):
+        host, path = brute_url(u)
+        rule, table = brute_rule(host, path)
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, table.get(rule, "allow")), u
+
+
+def test_url_mining(spark):
+    rows = [(f"https://{'bad' if i % 3 == 0 else 'good'}.example.net/{'x' if i % 2 else 'y'}/{i}", i % 3 == 0 and i % 2 == 1) for i in range(300)]
+    mined = urls.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert [m.tokens for m in mined] == [("h:bad", "p:x")] and mined[0].confidence == 1
+    got = urls.judge(spark.createDataFrame([(u,) for u, _ in rows] + [(None,)], "url string"), mined).collect()
+    assert [r.verdict == "block" for r in got] == [b for _, b in rows] + [False]
+    assert urls.mine(spark.createDataFrame([], "url string, bad boolean")) == []
+
+
+# -- 6: benchmark
+
+
+def brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], (last + 1 if x == y else max(row[j + 1], row[j]))
+    return row[-1]
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = rng.integers(0, 6, rng.integers(1, 70)), rng.integers(0, 6, rng.integers(0, 90))
+        assert decontamination.common(a, b) == brute_lcs(a.tolist(), b.tolist())
+
+
+def test_contamination(spark, sf, odd, empty):
+    docs, items = docs_of(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
+    bench = [(r.item_id, decontamination.words(r.text)) for r in items.collect()]
+    planted = [(10_000 + k, "filler words go here and there " * 9 + b" ".join(w).decode().upper() + ". and on it goes " * 12, "en", "s", 1) for k, (_, w) in enumerate(bench[:20])]
+    changed = []
+    for k, (_, w) in enumerate(b for b in bench if len(b[1]) > 30):
+        v = list(w)
+        for at in range(4, len(v) - 8, 9):
+            v[at] = b"swapped"
+        changed.append((20_000 + k, "some other text before it " * 8 + b" ".join(v).decode() + " and after it " * 8, "en", "s", 1))
+    both = docs.unionByName(spark.createDataFrame(planted + changed, SCHEMA))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(both, items).collect()}
+    want = set()
+    for r in both.collect():
+        text = b" " + b" ".join(decontamination.words(r.text)) + b" "
+        want |= {(r.doc_id, i) for i, w in bench if len(w) >= 5 and b" " + b" ".join(w) + b" " in text}
+    assert want <= got and len(want) >= 20
+    assert {d for d, _, *_ in changed} <= {d for d, _ in got}
+    assert len({d for d, _ in got if d < 10_000} - {d for d, _ in want}) == 0  # clean documents are left alone
+    left = decontamination.decontaminated(both, items)
+    assert left.count() == both.count() - len({d for d, _ in got})
+    assert decontamination.contaminated(odd, items).count() == 0
+    assert decontamination.contaminated(empty, items).count() == 0
+    assert decontamination.contaminated(odd, items.limit(0)).count() == 0
+    assert decontamination.decontaminated(odd, items).count() == len(ODD)
+
+
+# -- 7: SimHash
+
+
+def brute_simhash(text):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    s = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    h = [xxhash.xxh64_intdigest(x, seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints):
+    ids = list(range(len(prints)))
+    up = ids[:]
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in ids:
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                up[find(i)] = find(j)
+    return [find(i) for i in ids]
+
+
+def test_anchor_covering():
+    """Any two fingerprints within four bits meet at a home of one of them."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    y = x.copy()
+    for i in range(len(y)):
+        for b in rng.choice(64, rng.integers(0, 5), replace=False):
+            y[i] ^= np.uint64(1) << np.uint64(b)
+    at = {}
+    for name, v in (("x", x), ("y", y)):
+        anchor, row, home = simhash.anchors(v)
+        for a, r, h in zip(anchor.tolist(), row.tolist(), home.tolist()):
+            at.setdefault((name, r), {})[a] = h
+    for i in range(len(x)):
+        assert any(h or at["y", i].get(a, False) for a, h in at["x", i].items() if a in at["y", i])
+        assert sum(at["x", i].values()) == 3
+
+
+def check_simhash(spark, df, monkeypatch=None):
+    got = simhash.near_duplicates(df).collect()
+    rows = [(r.doc_id, brute_simhash(r.text)) for r in df.collect()]
+    assert Counter((r.doc_id, r.fingerprint) for r in got) == Counter((i, f"{p:016x}") for i, p in rows)
+    root = brute_components([p for _, p in rows])
+    least = {}
+    for (i, _), r in zip(rows, root):
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    want = Counter((i, least.get(r)) for (i, _), r in zip(rows, root))
+    assert Counter((r.doc_id, r.component_id) for r in got) == want
+
+
+def test_simhash(spark, sf, odd, empty):
+    check_simhash(spark, docs_of(spark, sf))
+    check_simhash(spark, odd)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("crowd,step", [(1 << 14, 1 << 21), (4, 8), (3, 1)])
+def test_simhash_crowds(spark, monkeypatch, crowd, step):
+    """Chunks and blocks of any size give the same components."""
+    rng = np.random.default_rng(crowd)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 6)]
+    prints = sorted({b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False)) for b in base for _ in range(40)})
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "STEP", step)
+    member = {r.node: r.root for r in components.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"))).collect()}
+    root = brute_components(prints)
+    mine = [member.get(x, x) for x in signed]
+    assert len(set(zip(mine, root))) == len(set(mine)) == len(set(root))
+
+
+def test_components_chain(spark):
+    n = 200
+    links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1002), (5000, 5000)], "a bigint, b bigint")
+    got = {r.node: r.root for r in components.components(links).collect()}
+    assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_deduplicated(spark, odd):
+    kept = simhash.deduplicated(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, 1), (True, 0), (False, 4), (False, 5)])
+
+
+# -- 8: shards
+
+
+def test_shards(spark, sf, odd, empty):
+    df = docs_of(spark, sf)
+    got = sharding.shard(df).toPandas()
+    text = {r.doc_id: r.text or "" for r in df.collect()}
+    assert len(got) == len(text)
+    assert all(r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got.itertuples())
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    sums = got.groupby("shard")["size"].sum()
+    assert sums.max() - sums.min() <= 2 * got["size"].max() + 0.03 * sums.mean() and set(got.law) == {"bytes"}
+    other = sharding.shard(df.repartition(3), partitions=3).toPandas()
+    assert sorted(zip(got.doc_id, got.shard)) == sorted(zip(other.doc_id, other.shard))
+    assert sharding.shard(odd).count() == len(ODD) and sharding.shard(empty).count() == 0
+
+
+def test_equal_texts_share_a_shard(spark):
+    df = spark.createDataFrame([(i, f"text {i % 300} " + "pad " * 20) for i in range(3000)], "doc_id bigint, text string")
+    got = sharding.shard(df, slack=0.2).toPandas()
+    assert (got.assign(g=got.doc_id % 300).groupby("g")["shard"].nunique() == 1).all()
+
+
+def test_one_text_is_split(spark):
+    got = sharding.shard(spark.createDataFrame([(i, "same") for i in range(1600)], "doc_id bigint, text string")).toPandas()
+    assert (got.groupby("shard").size().between(90, 110)).all() and got["shard"].nunique() == 16
+
+
+# -- 9: languages
+
+
+def test_language_held_out(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 3000")
+    content = langid.dictionaries(langid.training_rows(df, ~langid.held_out()))
+    got = langid.identify(df.select("doc_id", "lang", "text", langid.held_out().alias("held_out")), content).filter("held_out").select("lang", "lang_pred").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.98
+    assert abs(len(got) / df.count() - 1 / 3) < 0.05
+
+
+def test_language_odd(spark, odd, empty):
+    content = langid.dictionaries(langid.training_rows(odd, F.lit(True)))
+    got = langid.identify(odd.withColumn("score", F.lit("x")), content).collect()
+    for r in got:
+        has = any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred != "und") == has and 0 <= r.score <= 1
+    assert langid.identify(empty, content).count() == 0
+    assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
+    assert langid.training_rows(empty, F.lit(True)) == []
+    assert zlib.crc32(b"5") % 3 == 1 or not odd.filter("doc_id = 5").select(langid.held_out().alias("h")).first().h
+
+
+# -- 10: quality
+
+
+def brute_quality(text):
+    import re
+
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    c = Counter(wins)
+    cover = {i + k for i, x in enumerate(wins) if c[x] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(w)
+    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), n < 50 or 100 * len(cover) > 50 * n
+
+
+def test_quality(spark, sf, odd, empty):
+    for df in (docs_of(spark, sf), odd.withColumn("n_words", F.lit("x"))):
+        got = quality.judge(df).collect()
+        want = Counter((r.doc_id, *brute_quality(r.text)) for r in df.collect())
+        assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+        assert not any(r.kept and r.base_failed for r in got)
+    assert quality.judge(empty).count() == 0
+
+
+def test_quality_against_labels(spark):
+    d = "/root/testdata/sf0.1"
+    got = quality.judge(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed")
+    rate = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()}
+    assert rate[1] > 0.98 and rate[0] < 0.1
+
+
+# -- registration
+
+
+def test_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == sorted(set(int(n[2:].split("_")[0]) for n in queries.QUERIES))
