@@ -19,7 +19,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     if not names or len(set(names)) != len(names):
         raise EngineError("the header is missing or repeats a name")
     shape = ", ".join(f"`{n}` string" for n in names) + ", _broken string"
-    return spark.read.schema(shape).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("enforceSchema", True).option("escape", '"').csv(path)
+    return spark.read.schema(shape).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_broken").option("enforceSchema", True).option("escape", '"').csv(path)
 
 
 def infer(spark: SparkSession, path: str) -> list[tuple[str, Type]]:

@@ -1 +1 @@
-
+"""No streaming operators: the engine's queries are batch queries over versioned tables."""

@@ -35,6 +35,19 @@ def process_cache() -> dict:
     return sys.modules[name].store
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, so that an idle worker does not hold it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def root(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir``, else one made for this application."""
     named = spark.conf.get("spark.checkpoint.dir", None)
