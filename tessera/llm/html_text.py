@@ -48,6 +48,8 @@ UNLIKELY = re.compile(
 #: Names that mark the article itself, whatever else is there.
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|story|entry|body|text|prose)(?:$|[\s_-]|\d)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status tooltip".split())
+STATES = ("has-", "with-", "no-", "without-", "js-", "is-")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 SCORED = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6 section div article main body".split())
 #: Points: one for a block of FULL characters or more, one for each comma, up to three for length.
 FULL, PER, MOST = 25, 100, 3.0
@@ -75,7 +77,7 @@ def _attributes(source: str) -> dict[str, str]:
     return {n.lower(): html.unescape(a or b or c) for n, a, b, c in _ATTR.findall(source) if n.lower() in _WANTED}
 
 
-def _unwanted(tag: str, attrs: dict[str, str]) -> bool:
+def _unwanted(tag: str, attrs: dict[str, str], by_name: bool) -> bool:
     """Parts that are no article text."""
     if tag in DROPPED:
         return True
@@ -85,12 +87,16 @@ def _unwanted(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if (style := attrs.get("style")) and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", style, re.I):
         return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    if not by_name:
+        return False
+    # state of the page, not the name of a part: has-sidebar, with-comments
+    said = [n for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not n.lower().startswith(STATES)]
+    names = _CAMEL.sub(r"\1-\2", " ".join(said))
     return bool(UNLIKELY.search(names)) and not (tag in ("article", "main") and LIKELY.search(names) and not re.search("comment", names, re.I))
 
 
-def parse(source: str) -> Node:
-    """The page's tree, without unwanted parts and without comments. Anything is accepted; what is cut off inside a tag is dropped."""
+def parse(source: str, by_name: bool = True) -> Node:
+    """The page's tree, without unwanted parts and without markup comments. Anything is accepted; what is cut off inside a tag is dropped."""
     root = Node("html", {}, None)
     node, at, skip = root, 0, 0  # skip: depth inside an unwanted part
     skipped: list[str] = []
@@ -159,7 +165,7 @@ def parse(source: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
-        if _unwanted(tag, attrs):
+        if _unwanted(tag, attrs, by_name):
             skipped.append(tag)
             skip = 1
             node.kids.append(Node("hr", {}, node))  # what stood here parts the text around it
@@ -292,9 +298,12 @@ def extract(source: str | None) -> str:
     """Main text: blocks joined by an empty line; empty if there is none."""
     if not source:
         return ""
-    root = parse(source)
-    _measure(root, False)
-    return "\n\n".join(blocks(root))
+    for by_name in (True, False):  # a page whose outermost box has an unlikely name is read without regard to names
+        root = parse(source, by_name)
+        _measure(root, False)
+        if found := blocks(root):
+            return "\n\n".join(found)
+    return ""
 
 
 def main_text(pages: DataFrame, page: str = "html") -> DataFrame:
@@ -309,7 +318,7 @@ def main_text(pages: DataFrame, page: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(p) for p in b.column(len(kept)).to_pylist()]
+            texts = [extract(p.as_py()) for p in b.column(len(kept))]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=[*b.schema.names[: len(kept)], "text", "n_chars"],

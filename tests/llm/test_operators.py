@@ -111,6 +111,12 @@ def test_page_without_article():
     assert html_text.extract(page) == ("Some words, and more of them. " * 5).strip() + "\n\nTail, short."
 
 
+def test_names_of_parts():
+    page = '<body class="page has-sidebar"><div class="sidebarLeft"><p>no, no, no</p></div><div class="content"><p>Yes, this is the text we want.</p></div></body>'
+    assert html_text.extract(page) == "Yes, this is the text we want."
+    assert html_text.extract('<div class="sidebar"><p>Only text, here.</p></div>') == "Only text, here."
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "<p>deep words, here</p>"
     pages = [None, "", "plain text only", "<p>cut <b", "<p>a &am", "</p></div>", deep, "<nav><a>x</a>", "<script>never closed"]
