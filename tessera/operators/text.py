@@ -71,7 +71,8 @@ def bm25(docs: DataFrame, text: str, query: str, tokenizer=tokens, k1: float = K
         tf = _times(t, word)
         score = score + times * bm25_idf(n, df[word]) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * share))
     hit = F.arrays_overlap(t, F.array(*[F.lit(w) for w in wanted]))
-    return rows.filter(hit).withColumn("_score", score).drop("_tokens").filter("_score > 0")
+    # every hit scores above 0; a filter on the score would be pushed down and tokenise again
+    return rows.filter(hit).withColumn("_score", score).drop("_tokens")
 
 
 def postings(docs: DataFrame, key: str, text: str, tokenizer=tokens) -> DataFrame:
