@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import workspace
-from tessera.llm import decontamination, html_text, langid, mixing, quality, sharding, simhash, tokens, urls
+from tessera.llm import decontamination, html_text, langid, mixing, passages, quality, sharding, simhash, tokens, urls
 from tessera.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 
 
@@ -31,6 +31,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     mined = urls.mine(urls.labelled_pages(pages, _table(spark, sf_dir, "labels")))
@@ -63,5 +67,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_output, op2_html_extraction, op3_source_mixing, op5_url_filter, op6_decontamination, op7_simhash, op8_sharding, op9_language, op10_quality_rules)
+    for f in (op1_token_output, op2_html_extraction, op3_source_mixing, op4_substring_dedup, op5_url_filter, op6_decontamination, op7_simhash, op8_sharding, op9_language, op10_quality_rules)
 }

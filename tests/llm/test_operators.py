@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import components, decontamination, html_text, langid, mixing, quality, queries, rangecoder, sharding, simhash, tokens, urls
+from tessera.llm import components, decontamination, html_text, langid, mixing, passages, quality, queries, rangecoder, sharding, simhash, tokens, urls
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ODD = [
@@ -434,3 +434,32 @@ def test_quality_against_labels(spark):
 
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == sorted(set(int(n[2:].split("_")[0]) for n in queries.QUERIES))
+
+
+# -- 4: repeated passages
+
+
+def test_compact_windows():
+    """Every stretch of LENGTH or more lies in the span of a node that holds the stretch's minimum."""
+    rng = np.random.default_rng(2)
+    for h in (rng.integers(0, 50, 300).astype(np.uint64), rng.integers(0, 1 << 60, 300).astype(np.uint64), np.full(200, 9, np.uint64)):
+        nodes = passages.windows(h, 20)
+        for _ in range(300):
+            a = int(rng.integers(0, len(h) - 20))
+            b = int(rng.integers(a + 20, len(h) + 1))
+            assert any(lo <= a and b <= hi and h[c] == h[a:b].min() for lo, c, hi in nodes)
+
+
+def test_repeated_passages(spark, odd, empty):
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage, other = words(80), words(40)
+    near = passage.split()
+    near[30] = "changed"
+    rows = [(1, words(100) + " " + passage + " " + words(30)), (2, passage.upper().replace("W", "w") + " " + words(200)), (3, words(60) + " " + " ".join(near)), (4, words(300)), (5, words(50) + " " + other), (6, other + " " + words(70)), (None, passage)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(2, 1), (3, 1)}
+    two = next(r for r in got if r.doc_id == 2)
+    assert (two.start, two.end, two.other_start) == (0, 80, 100) and two.similarity == 1
+    assert {r.doc_id for r in passages.repeated_passages(odd).collect()} == {6}
+    assert passages.repeated_passages(empty).count() == 0
