@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.workspace import settle, ship
+from tessera.workspace import release_memory, settle, ship
 
 ship()
 
@@ -83,6 +83,7 @@ def encode(docs: DataFrame, bench: Benchmark, key: str = "doc_id", text: str = "
         for b in batches:
             out = [np.fromiter(map(get, w, repeat(0)), "<u4", len(w)).tobytes() for w in (words(t.as_py()) for t in b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "ids"])
+        release_memory()
 
     return source.mapInArrow(run, "key bigint, ids binary")
 
@@ -151,8 +152,8 @@ def fit(encoded: DataFrame, bench: Benchmark, rank: int = RANK, extra: int = EXT
         table = weighed.value
         z = np.zeros(table.shape, np.float64)
         for b in batches:
-            for data in b.column("ids").to_pylist():
-                ids = np.frombuffer(data, "<u4")
+            for data in b.column("ids"):
+                ids = np.frombuffer(data.as_buffer(), "<u4")
                 y = passages(hops(ids, table))
                 both = y.copy()
                 both[1:] += y[:-1]  # the passages that a hop is in
@@ -164,6 +165,7 @@ def fit(encoded: DataFrame, bench: Benchmark, rank: int = RANK, extra: int = EXT
                 first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
                 z[found[first]] += np.add.reduceat(both[order // HOP], first, axis=0)
         yield from _blocks(z)
+        release_memory()
 
     partial = encoded.mapInArrow(sketch, "block int, data binary")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -316,5 +318,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> Dat
                 w = words(t.as_py())
                 clean.append(not matches(np.fromiter(map(get, w, repeat(0)), "<u4", len(w)), m))
             yield b.filter(pa.array(clean, pa.bool_()))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)

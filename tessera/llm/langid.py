@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.workspace import ship
+from tessera.workspace import release_memory, ship
 
 ship()
 
@@ -113,11 +113,12 @@ def identify(docs: DataFrame, content: dict[str, bytes], text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(content)
         for b in batches:
-            found = [model.predict(t) for t in b.column(kept.index(text)).to_pylist()]
+            found = [model.predict(t.as_py()) for t in b.column(kept.index(text))]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*b.schema.names, "lang_pred", "score"],
             )
+        release_memory()
 
     return docs.select(*kept).mapInArrow(run, f"{shape}, lang_pred string, score double")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.workspace import settle, ship
+from tessera.workspace import release_memory, settle, ship
 
 ship()
 
@@ -63,8 +63,9 @@ def fingerprint(data: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = np.array([fingerprint(t or b"") for t in b.column(1).to_pylist()], np.uint64)
+        found = np.array([fingerprint(t.as_py() or b"") for t in b.column(1)], np.uint64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["key", "fp"])
+    release_memory()
 
 
 def _patterns(bits: int, radius: int) -> list[np.ndarray]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import rangecoder
-from tessera.workspace import process_cache, ship
+from tessera.workspace import process_cache, release_memory, ship
 
 ship()
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 1 << 20
+#: Distinct words, and pieces of text between spaces, whose ids a worker remembers (about 200 bytes each).
+REMEMBERED_WORDS, REMEMBERED_PIECES = 1 << 19, 1 << 18
 BLOCKS = "part int, block int, before bigint, n_tokens bigint, n_docs int, payload binary"
 
 
@@ -47,29 +48,40 @@ class _Pieces(dict):
         super().__init__()
         self.tokenizer = tokenizer
         self.inner: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # where letters end the byte-level pattern always ends a token
         self.cut = regex.compile(r"(?<=\p{L})(?=\P{L})")
-        self.word = regex.compile(r" ?\p{L}+")
         self.letters = _byte_letters()
+        self.space = self.letters[32]
 
     def encode(self, part: str) -> bytes:
-        if self.word.fullmatch(part):  # one piece for the merges: no pattern to run
-            found = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+        word = part[1:] if part[:1] == " " else part
+        if word.isalpha():  # one piece for the merges, so no pattern is run
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.tokenizer.model.tokenize(self.space + word if part[0] == " " else word)]
         else:
             found = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes()
+        return array("I", found).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > REMEMBERED:
+        if len(self) >= REMEMBERED_PIECES:
             self.clear()
-        if len(self.inner) > REMEMBERED:
-            self.inner.clear()
-        out = []
-        for part in self.cut.split(" " + piece):
-            if part not in self.inner:
-                self.inner[part] = self.encode(part)
-            out.append(self.inner[part])
-        self[piece] = ids = b"".join(out)
+        if len(self.inner) >= REMEMBERED_WORDS // 2:  # words met since the last change of generations stay
+            self.older, self.inner = self.inner, {}
+        if piece.isalpha():
+            parts = (" " + piece,)
+        elif piece[:-1].isalpha():
+            parts = (" " + piece[:-1], piece[-1])
+        else:
+            parts = self.cut.split(" " + piece)
+        inner, out = self.inner, []
+        for part in parts:
+            ids = inner.get(part)
+            if ids is None:
+                ids = inner[part] = self.older.get(part) or self.encode(part)
+            out.append(ids)
+        self[piece] = ids = out[0] if len(out) == 1 else b"".join(out)
         return ids
 
 
@@ -155,6 +167,7 @@ def write_tokens(docs: DataFrame, where: str, file: str | None = None, key: str
                     size = 0
         if keys:
             yield closed()
+        release_memory()
 
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(where)
 
@@ -193,6 +206,7 @@ def read_tokens(spark: SparkSession, where: str, digest: bool = False) -> DataFr
                     [pa.array(keys, pa.int64()), pa.array(starts[part] + before + begin), pa.array(counts), last],
                     names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
                 )
+        release_memory()
 
     found = spark.read.schema(BLOCKS).parquet(where).select("part", "before", "payload")
     return found.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids array<int>"))
