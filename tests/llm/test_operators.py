@@ -463,3 +463,14 @@ def test_repeated_passages(spark, odd, empty):
     assert (two.start, two.end, two.other_start) == (0, 80, 100) and two.similarity == 1
     assert {r.doc_id for r in passages.repeated_passages(odd).collect()} == {6}
     assert passages.repeated_passages(empty).count() == 0
+
+
+def test_one_changed_word_at_every_place():
+    for n in (50, 55, 60, 70, 80):
+        for at in range(n):
+            same = np.zeros(n - 4 + 40, bool)
+            same[20 : n + 16] = True
+            same[20 + max(0, at - 4) : 20 + min(n - 4, at + 1)] = False
+            (found,) = passages.stretches(same)
+            assert found[1] - found[0] >= passages.LENGTH and found[2] >= passages.SIMILAR, (n, at)
+    assert passages.stretches(np.arange(300) % 10 < 7) == []
