@@ -474,3 +474,14 @@ def test_one_changed_word_at_every_place():
             (found,) = passages.stretches(same)
             assert found[1] - found[0] >= passages.LENGTH and found[2] >= passages.SIMILAR, (n, at)
     assert passages.stretches(np.arange(300) % 10 < 7) == []
+
+
+def test_two_passages_at_one_shift(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, n = [], 12
+    for k in range(n):
+        head, foot = words(60), words(60)
+        rows += [(2 * k + i, " ".join(head + words(1500) + foot)) for i in (0, 1)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.other_id, r.start, r.end) for r in got) == sorted((2 * k + 1, 2 * k, s, s + 60) for k in range(n) for s in (0, 1560))
