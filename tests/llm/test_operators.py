@@ -485,3 +485,21 @@ def test_two_passages_at_one_shift(spark):
         rows += [(2 * k + i, " ".join(head + words(1500) + foot)) for i in (0, 1)]
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.other_id, r.start, r.end) for r in got) == sorted((2 * k + 1, 2 * k, s, s + 60) for k in range(n) for s in (0, 1560))
+
+
+def test_inserted_and_deleted_words(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    for n in (60, 75, 90):
+        for at in range(1, n, 4):
+            a, extra = words(n), words(1)
+            x, y = (passages.shingles(" ".join(w).encode()) for w in (words(30) + a + words(30), words(30) + a[:at] + extra + a[at:] + words(30)))
+            for p, q in ((x, y), (y, x)):
+                (found,) = passages.aligned(p, q, -passages.BAND, passages.BAND)
+                assert found[-1] >= passages.SIMILAR and min(found[1] - found[0], found[3] - found[2]) >= passages.LENGTH - 1
+    rows = []
+    for k in range(8):
+        a = words(60)
+        rows += [(2 * k, " ".join(words(200) + a + words(200))), (2 * k + 1, " ".join(words(150) + a[:30] + words(1) + a[30:] + words(150)))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.other_id, r.start, r.end, r.other_start) for r in got) == [(2 * k + 1, 2 * k, 150, 211, 200) for k in range(8)]
