@@ -7,7 +7,7 @@ much), gives the latent space: one pass over the corpus sums A'(A W) for a rando
 partition, and a Nystrom step on the driver turns the sums into singular vectors. Sizes there
 depend on the benchmark alone.
 
-Passages whose cosine with an item reaches COSINE, and which bring enough of it, are candidates. A candidate stands if the longest
+Passages whose cosine with an item reaches COSINE are candidates. A candidate stands if the longest
 common subsequence of words covers NEAR of the item, or PARAPHRASE of it with the item's answer
 (the rare words of its last part) present.
 """
@@ -35,8 +35,6 @@ ITEM = 64
 LEAST = 5
 RANK, EXTRA = 160, 32
 COSINE = 0.4
-#: Least part of an item's own length (in the latent space) that a passage brings along it, for items that fit one.
-BRING = 0.55
 NEAR = 0.8
 PARAPHRASE = 0.55
 ANSWER = 0.8
@@ -127,7 +125,6 @@ class Model:
     vocabulary: dict[bytes, int]
     table: np.ndarray  # weights of words in the latent space, row 0 empty
     items: np.ndarray  # unit latent vectors of the parts
-    need: np.ndarray  # least product of a passage with each of them
     parts: list[tuple[int, np.ndarray]]
     answers: list[frozenset[int]]
 
@@ -183,16 +180,13 @@ def fit(encoded: DataFrame, bench: Benchmark, rank: int = RANK, extra: int = EXT
     z = z / max(np.abs(z).sum(), 1e-12) * max(norm, 1e-12) + own  # the corpus weighs as much as the items
     basis = _nystrom(z, draw.astype(np.float64), rank)
     latent = items @ basis
-    norms = np.linalg.norm(latent, axis=1)
-    latent /= np.maximum(norms, 1e-9)[:, None]
-    # a passage holds only a part of an item that is longer than it
-    need = BRING * norms * np.array([min(1.0, (PASSAGE - HOP / 4) / len(ids)) for _, ids in bench.parts])
+    latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
     answers = []
     for _, ids in bench.parts:
         tail = ids[-max(LEAST, len(ids) // 4) :]
         rare = sorted(set(tail.tolist()), key=lambda i: (-idf[i], i))
         answers.append(frozenset(rare[: max(1, len(rare) // 2)]))
-    return Model(bench.vocabulary, (idf[:, None] * basis).astype(np.float32), latent.astype(np.float32), need.astype(np.float32), bench.parts, answers)
+    return Model(bench.vocabulary, (idf[:, None] * basis).astype(np.float32), latent.astype(np.float32), bench.parts, answers)
 
 
 _ROWS = 256
@@ -254,9 +248,8 @@ def matches(ids: np.ndarray, model: Model) -> dict[int, tuple[float, float, bool
     tried: set[tuple[int, int]] = set()
     for lo in range(0, len(vectors), STEP):
         v = vectors[lo : lo + STEP]
-        along = v @ model.items.T
-        near = along / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
-        for w, k in zip(*(x.tolist() for x in np.nonzero((near >= COSINE) & (along >= model.need)))):
+        near = v @ model.items.T / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
+        for w, k in zip(*(x.tolist() for x in np.nonzero(near >= COSINE))):
             item, part = model.parts[k]
             m = len(part)
             at = (lo + w) * HOP
@@ -264,6 +257,8 @@ def matches(ids: np.ndarray, model: Model) -> dict[int, tuple[float, float, bool
                 continue
             tried.add((k, at // max(HOP, m // 2)))
             region = ids[max(0, at - m) : at + PASSAGE + m]
+            if np.count_nonzero(region) < PARAPHRASE * m:  # the common subsequence is no longer than this
+                continue
             share = common(part, region) / m
             if share < PARAPHRASE:
                 continue

@@ -252,6 +252,24 @@ def test_contamination(spark, sf, odd, empty):
     assert decontamination.decontaminated(odd, items).count() == len(ODD)
 
 
+def test_paraphrases_at_all_offsets(spark, sf):
+    """Items with the answer and 0.56 to 0.7 of the words kept, at every place of a passage."""
+    bench = decontamination.load_benchmark(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    encoded = decontamination.encode(docs_of(spark, sf), bench).cache()
+    model = decontamination.fit(encoded, bench)
+    hosts = [h for h in (np.frombuffer(r.ids, "<u4") for r in encoded.select("ids").collect()) if 150 < len(h) < 1000]
+    rng = np.random.default_rng(7)
+    n = found = 0
+    for k, (item, part) in enumerate(model.parts):
+        for at in range(64, 64 + decontamination.HOP):
+            kept, host = part.copy(), hosts[int(rng.integers(len(hosts)))]
+            free = rng.permutation(np.flatnonzero([x not in model.answers[k] for x in part.tolist()]))
+            kept[free[: int(len(part) * (1 - rng.choice([0.56, 0.6, 0.65, 0.7])))]] = 0
+            n += 1
+            found += item in decontamination.matches(np.r_[host[:at], kept, host[at:]].astype(np.uint32), model)
+    assert found >= 0.99 * n
+
+
 # -- 7: SimHash
 
 
