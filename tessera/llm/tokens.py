@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,17 @@ ship()
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-#: Distinct words, and pieces of text between spaces, whose ids a worker remembers (about 200 bytes each).
-REMEMBERED_WORDS, REMEMBERED_PIECES = 1 << 19, 1 << 18
+#: Distinct parts of words whose ids a worker remembers (about 200 bytes each).
+REMEMBERED = 1 << 19
+#: Characters of text that are cut into pieces in one step.
+STEP = 1 << 22
+#: A blank between two characters outside this class always starts a token: white space by any version of Unicode.
+WHITE = " \t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff"
+#: Put between the parts of a piece; a text that has it is not cut this way.
+MARK = "\x01"
+ASCII_OTHERS = "\x00\x02-\x40\x5b-\x60\x7b-\x7f"
+#: Characters that are letters in every version of Unicode; where one comes before an ASCII character that is none, a token ends.
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481\u048a-\u0513\u05d0-\u05ea\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 BLOCKS = "part int, block int, before bigint, n_tokens bigint, n_docs int, payload binary"
 
 
@@ -41,55 +51,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
 
 
-class _Pieces(dict):
-    """Ids (as bytes) of pieces of text that each start at a space, filled on demand."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-        self.inner: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        # where letters end the byte-level pattern always ends a token
-        self.cut = regex.compile(r"(?<=\p{L})(?=\P{L})")
-        self.letters = _byte_letters()
-        self.space = self.letters[32]
-
-    def encode(self, part: str) -> bytes:
-        word = part[1:] if part[:1] == " " else part
-        if word.isalpha():  # one piece for the merges, so no pattern is run
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(self.letters)
-            found = [t.id for t in self.tokenizer.model.tokenize(self.space + word if part[0] == " " else word)]
-        else:
-            found = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return array("I", found).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED_PIECES:
-            self.clear()
-        if len(self.inner) >= REMEMBERED_WORDS // 2:  # words met since the last change of generations stay
-            self.older, self.inner = self.inner, {}
-        if piece.isalpha():
-            parts = (" " + piece,)
-        elif piece[:-1].isalpha():
-            parts = (" " + piece[:-1], piece[-1])
-        else:
-            parts = self.cut.split(" " + piece)
-        inner, out = self.inner, []
-        for part in parts:
-            ids = inner.get(part)
-            if ids is None:
-                ids = inner[part] = self.older.get(part) or self.encode(part)
-            out.append(ids)
-        self[piece] = ids = out[0] if len(out) == 1 else b"".join(out)
-        return ids
-
-
 class Encoder:
-    """Ids of whole texts by a byte-level BPE file of the tokenizers library.
+    """Ids of whole texts, equal to what the tokenizers library gives for a byte-level BPE file.
 
-    Its pattern never joins characters across the place between a character and a single space after it, so
-    texts are cut there and equal pieces are encoded once. Texts with double spaces go whole.
+    The byte-level pattern starts a token at a single blank between two characters that are not white space, so texts are
+    cut there and each distinct piece of a step is encoded once; pieces are cut again where letters end. A text in which a special token of the file is spelled out goes to the library whole.
     """
 
     def __init__(self, file: str):
@@ -97,19 +63,103 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.pieces = _Pieces(self.tokenizer)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.blank = regex.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
+        self.edge = regex.compile(f"[{WHITE}].*|.*[{WHITE}]|", regex.DOTALL)
+        self.ends = regex.compile(f"(?<=[{LETTER}])(?=[^{LETTER}\\u0080-\\U0010ffff])")
+        self.word = regex.compile(f"[{LETTER}]+")
+        self.letters = _byte_letters()
+
+    def whole(self, text: str) -> bytes:
+        """By the library: little-endian 32-bit ids."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
+    def _part(self, part: str) -> bytes:
+        if not part:
             return b""
-        first, *rest = text.split(" ")
-        if "" in rest or not first:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        head = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, "<u4").tobytes()
-        return head + b"".join(map(self.pieces.__getitem__, rest))
+        if (ids := self.older.get(part)) is None:
+            word = part[1:] if part[0] == " " else part
+            if (word.isascii() and word.isalpha()) or self.word.fullmatch(word):  # one token of the pattern, so only the merges are left to do
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(self.letters[32] + word if part[0] == " " else word)]).tobytes()
+            else:
+                ids = self.whole(part)
+        if len(self.known) >= REMEMBERED // 2:  # parts met since the last change of generations stay
+            self.older, self.known = self.known, {}
+        self.known[part] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece that white space neither precedes nor ends, but for one blank at its start."""
+        parts = self.ends.split(piece)
+        return b"".join(self.known.get(p) or self._part(p) for p in parts if p)
+
+    def ids(self, text: str) -> bytes:
+        """Ids of one text, by pieces."""
+        if any(t in text for t in self.special):
+            return self.whole(text)
+        first, *rest = self.blank.split(text)
+        head = self.whole(first) if self.edge.fullmatch(first) else self.piece(first)
+        return head + b"".join(self.whole(" " + p) if self.edge.fullmatch(p) else self.piece(" " + p) for p in rest)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) one after another, and how many each has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        codes, at, table = _split(texts, " ")
+        odd = pc.match_substring_regex(table, f"^[{WHITE}]|[{WHITE}]$|^$|{MARK}").to_numpy(zero_copy_only=False)
+        slow = np.add.reduceat(odd[codes], at[:-1]) > 0
+        for t in self.special:
+            slow |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        blank = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), table, pa.scalar(" ", pa.large_string()))
+        inner, begin, parts = _split(pc.replace_substring_regex(blank, f"([{LETTER}])([{ASCII_OTHERS}])", f"\\1{MARK}\\2"), MARK)
+        known = self.known.get
+        entries = [known(p) or self._part(p) for p in parts.to_numpy(zero_copy_only=False).tolist()]
+        # the first piece of a text has no blank before it; a slow text is one entry
+        firsts = table.take(pa.array(codes[at[:-1]])).to_pylist()
+        entries += [self.ids(texts[k].as_py()) if s else self.piece(firsts[k]) for k, s in enumerate(slow.tolist())]
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        # what a piece stands for: a stretch of ``inner``; behind that, one entry for the start of each text
+        inner = np.r_[inner, len(parts) + np.arange(n)]
+        begin, width = np.r_[begin[:-1], begin[-1] + np.arange(n)], np.r_[np.diff(begin), np.ones(n, np.int64)]
+        width_of = width[codes]
+        width_of[np.repeat(slow, np.diff(at))] = 0
+        codes[at[:-1]], width_of[at[:-1]] = len(table) + np.arange(n), 1
+        flat = inner[_spans(begin[codes], width_of)]
+        each = size[flat]
+        pool = np.frombuffer(b"".join(entries), "<u4")
+        out = pool[_spans((np.cumsum(size) - size)[flat], each)]
+        ends = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(width_of)][at]]
+        return out, np.diff(ends)
+
+
+def _split(texts: pa.Array, by: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Codes of the pieces of all texts, where each text's begin (one more than texts), and the distinct pieces."""
+    pieces = pc.split_pattern(texts, by)
+    at = pieces.offsets.to_numpy().astype(np.int64)
+    coded = pieces.flatten().dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), at - at[0], coded.dictionary
+
+
+def _spans(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of all spans, one after another."""
+    ends = np.cumsum(width)
+    return np.repeat(start - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def steps(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about STEP characters, one text at least."""
+    size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(size) - size) // STEP
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield texts.slice(a, b - a)
 
 
 def encoder(file: str) -> Encoder:
@@ -133,18 +183,16 @@ def write_tokens(docs: DataFrame, where: str, file: str | None = None, key: str
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(n, F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"), "text")
-    last = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(file)
         part, number, before = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         counts: list[int] = []
-        data: list[bytes] = []
+        data: list[np.ndarray] = []
 
         def closed() -> pa.RecordBatch:
             nonlocal number, before
-            ids = np.frombuffer(b"".join(data), "<u4")
+            ids = np.concatenate(data)
             payload = rangecoder.pack(keys, counts, ids, max(tool.vocabulary, end + 1))
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(keys)], pa.int32()), pa.array([payload], pa.binary())],
@@ -156,15 +204,25 @@ def write_tokens(docs: DataFrame, where: str, file: str | None = None, key: str
 
         size = 0
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = tool.ids(t.as_py()) + last
-                keys.append(k)
-                counts.append(len(ids) // 4)
-                data.append(ids)
-                size += len(ids) // 4
-                if size >= block:
-                    yield closed()
-                    size = 0
+            row = 0
+            for some in steps(b.column(1)):
+                ids, n = tool.batch(some)
+                ids = np.insert(ids, np.cumsum(n), end)
+                n += 1
+                ends = np.cumsum(n)
+                done = 0
+                while done < len(n):  # documents up to the one that fills a block
+                    take = min(int(np.searchsorted(ends, (ends[done - 1] if done else 0) + block - size)) + 1, len(n))
+                    lo, hi = int(ends[done - 1]) if done else 0, int(ends[take - 1])
+                    keys += b.column(0).slice(row + done, take - done).to_pylist()
+                    counts += n[done:take].tolist()
+                    data.append(ids[lo:hi])
+                    size += hi - lo
+                    done = take
+                    if size >= block:
+                        yield closed()
+                        size = 0
+                row += len(n)
         if keys:
             yield closed()
         release_memory()

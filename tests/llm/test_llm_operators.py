@@ -1,10 +1,12 @@
 """Operators against brute force, round trips, held-out labels and odd inputs."""
 
+import itertools
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -63,11 +65,36 @@ def test_codec_compresses_repetition():
     assert len(rangecoder.pack([0], [len(ids)], ids, 50_257)) < len(ids) * 2 / 4
 
 
-def test_encoder_equals_library():
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.tokenizer_path())
+
+
+def test_encoder_equals_library(library):
+    """All strings of up to four pieces of twelve kinds, through the untouched library."""
     e = tokens.encoder(tokens.tokenizer_path())
-    for t in ["", "a  b", "  x", "a \n b", "a\n\n  b c", "it's 's don't’s x1y2 ²³ é́a 12ab", "a\tb  \n", "\x1c a", "a\u00a0b\u3000c", "<|endoftext|> a", "end ", "日本 語x ab1c d'll"]:
-        want = e.tokenizer.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(e.ids(t), "<u4").tolist() == want, repr(t)
+    kinds = ["a", "é", " ", "\n", "\u00a0", "1", ",", "'s", "²", "日", "\x1c", "<|endoftext|>"]
+    texts = ["".join(c) for n in range(5) for c in itertools.product(kinds, repeat=n)]
+    texts += ["it's 's don't’s x1y2 ²³ é́a 12ab", "a \u00a0 \u00a0", "end ", "日本 語x ab1c d'll", "a\x01b c\x01 d", "<|end of|> <|endoftext", "ÀÉ1 ßx.y ǅa"]
+    ids, n = e.batch(pa.array(texts))
+    at = np.cumsum(n) - n
+    for t, a, k, want in zip(texts, at, n, library.encode_batch(texts, add_special_tokens=False)):
+        assert ids[a : a + k].tolist() == want.ids, repr(t)
+        assert np.frombuffer(e.ids(t), "<u4").tolist() == want.ids, repr(t)
+    assert [len(x) for x in e.batch(pa.array([], pa.string()))] == [0, 0] and e.batch(pa.array([None, ""]))[1].tolist() == [0, 0]
+
+
+def test_token_query_against_library(spark, sf, library):
+    """The registered query, recomputed with the library and zlib."""
+    rows = sorted(docs_of(spark, sf).select("doc_id", "text").collect())
+    at, want = 0, []
+    for r, found in zip(rows, library.encode_batch([r.text or "" for r in rows], add_special_tokens=False)):
+        ids = [*found.ids, 2]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, queries.op1_token_output(spark, sf).collect())) == want
 
 
 def test_token_files_round_trip(spark, sf, odd, tmp_path):
@@ -82,7 +109,7 @@ def test_token_files_round_trip(spark, sf, odd, tmp_path):
         for g in got:
             assert g.start == at and g.n_tokens == len(g.ids)
             at += g.n_tokens
-        want = Counter((r.doc_id, zlib.crc32(e.ids(r.text) + np.array([2], "<u4").tobytes())) for r in rows)
+        want = Counter((r.doc_id, zlib.crc32(e.ids(r.text or "") + np.array([2], "<u4").tobytes())) for r in rows)
         digest = tokens.read_tokens(spark, where, digest=True)
         assert Counter((g.doc_id, g.ids_crc32) for g in digest.collect()) == want
 
