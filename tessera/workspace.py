@@ -71,3 +71,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     where = path(spark, name)
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
