@@ -282,7 +282,7 @@ def test_contamination(spark, sf, odd, empty):
 def test_paraphrases_at_all_offsets(spark, sf):
     """Items with the answer and 0.56 to 0.7 of the words kept, at every place of a passage."""
     bench = decontamination.load_benchmark(spark.read.parquet(f"{sf}/benchmark.parquet"))
-    encoded = decontamination.encode(docs_of(spark, sf), bench).cache()
+    encoded = decontamination.encode(docs_of(spark, sf), bench)
     model = decontamination.fit(encoded, bench)
     hosts = [h for h in (np.frombuffer(r.ids, "<u4") for r in encoded.select("ids").collect()) if 150 < len(h) < 1000]
     rng = np.random.default_rng(7)
@@ -290,13 +290,54 @@ def test_paraphrases_at_all_offsets(spark, sf):
     for k, (item, part) in enumerate(model.parts):
         for at in range(64, 64 + decontamination.HOP):
             kept, host = part.copy(), hosts[int(rng.integers(len(hosts)))]
-            free = rng.permutation(np.flatnonzero([x not in model.answers[k] for x in part.tolist()]))
+            free = rng.permutation(np.flatnonzero(~np.isin(part, model.answers[k])))
             kept[free[: int(len(part) * (1 - rng.choice([0.56, 0.6, 0.65, 0.7])))]] = 0
             n += 1
-            found += item in decontamination.matches(np.r_[host[:at], kept, host[at:]].astype(np.uint32), model)
+            found += item in decontamination.matches([np.r_[host[:at], kept, host[at:]].astype(np.uint32)], model)[0]
     assert found >= 0.99 * n
 
 
+def test_matches_against_all_subsequences(spark, sf):
+    """The verdicts of the search against common subsequences of every item with every region of every document."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    bench = decontamination.load_benchmark(items)
+    encoded = decontamination.encode(docs_of(spark, sf), bench)
+    model = decontamination.fit(encoded, bench)
+    rows = [(r.key, np.frombuffer(r.ids, "<u4").astype(np.int64)) for r in encoded.collect()]
+    got = decontamination.matches([ids.astype(np.uint32) for _, ids in rows], model)
+    want = []
+    for _, ids in rows:
+        found = set()
+        for k, (item, part) in enumerate(model.parts):
+            m = len(part)
+            if item in found or np.isin(part, ids).sum() < decontamination.PARAPHRASE * m:
+                continue
+            for at in range(0, len(ids), decontamination.HOP):
+                region = ids[max(0, at - m) : at + decontamination.PASSAGE + m]
+                answer = np.isin(model.answers[k], region).sum() >= decontamination.ANSWER * len(model.answers[k])
+                if np.isin(part, region).sum() >= (decontamination.PARAPHRASE if answer else decontamination.NEAR) * m:
+                    share = decontamination.common(part, region) / m
+                    if share >= decontamination.NEAR or (answer and share >= decontamination.PARAPHRASE):
+                        found.add(item)
+                        break
+        want.append(found)
+    pairs = {(i, x) for i, f in enumerate(want) for x in f}
+    mine = {(i, x) for i, f in enumerate(got) for x in f}
+    assert mine <= pairs and len(mine) >= 0.95 * len(pairs) and len(pairs) >= 3
+
+
+def test_short_items_and_many_documents_at_once(spark):
+    docs = [(1, "one two three"), (2, "x One, two... y"), (3, "two one"), (4, None), (5, "one"), (6, "three words here " * 500), (7, "")]
+    items = [(1, "One two"), (2, "three words here"), (3, ""), (4, None), (None, "one"), (5, "one two three four five six seven eight")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()}
+    assert got == {(1, 1), (2, 1), (6, 2)}
+    clash = df.selectExpr("*", "1 key", "'x' ids", "2 _none")
+    left = decontamination.decontaminated(clash, bench)
+    assert left.columns == clash.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 7]
+
+
 # -- 7: SimHash
 
 
