@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,16 @@ SURE = 0.08
 MARGIN = 0.10
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numeric characters that are no digits, such as fractions and Roman numerals.
+_NUMBERS = regex.compile(r"\p{N}+")
 
 
 def normalised(text: str | None) -> str:
-    return _NOT_LETTERS.sub(" ", text or "").strip().lower()
+    """Lower-case letters and single spaces; empty if there is no letter."""
+    t = _NOT_LETTERS.sub(" ", text or "")
+    if not t.isascii() and _NUMBERS.search(t):
+        t = _NOT_LETTERS.sub(" ", _NUMBERS.sub(" ", t))
+    return t.strip().lower()
 
 
 def training_rows(docs: DataFrame, labelled: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
@@ -104,7 +111,9 @@ def identify(docs: DataFrame, content: dict[str, bytes], text: str = "text") ->
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1); only the text is looked at.
 
     Null texts and texts without a letter get ``und`` and 0, as everything does when no
-    language was learned. Work is per row: no shuffle, ties by the languages' order.
+    language was learned. A narrow margin shows as a low score; whoever rejects compares it with MARGIN, as the pipeline
+    does. Work is per row: no shuffle, ties by the languages' order; texts of any length are read whole, repeated rows are judged
+    alike, an empty table gives no rows. Columns of ``docs`` named lang_pred or score are replaced, others stay.
     """
     columns = docs.columns
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("lang_pred", "score").schema.fields)

@@ -1,18 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each document is worth ``target / size of its source`` copies on average. The whole part
-of that is given outright; the rest is an inclusion probability p. Documents are ranked by
-``(U / (1 - U)) / (p / (1 - p))`` with U a hash of the row, and the smallest ranks of each
-source are taken until their words fill the rest of its target.
-
-The cut is found without sorting a source in one place: ranks fall into equal bins, words
-are summed per source and bin (partial sums before the shuffle), and only the bin in which
-the target falls is ordered. A bin holds 1/BINS of a source.
+A document of a source is worth ``rate * min(words, FULL) / FULL`` copies, ``cap`` at most: short ones less. The rate of a source makes
+the words of all copies add up to its target. The whole part of a document's copies is certain and given outright; the rest is its
+inclusion probability p. Documents are ranked by ``(U / (1 - U)) / (p / (1 - p))`` with U a hash of the row, and the smallest
+ranks of each source are taken until their words fill what is left of its target: a sample of fixed size with unequal probabilities.
+
+The cut is found without sorting a source in one place: ranks fall into BINS bins and these into BINS each, words are summed per source
+and bin (partial sums before the shuffle), and only the bin in which the target falls is ordered. It holds about 1 / BINS^2 of a source.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +18,11 @@ from pyspark.sql import functions as F
 
 from tessera.workspace import settle
 
-#: Bins of a source's ranks; the one that is cut holds about this fraction of its rows.
-BINS = 1 << 16
+BINS = 1 << 8
+#: Words from which on a document counts in full.
+FULL = 100
+#: Sources, whose sizes go to the driver and whose targets are broadcast; more are an error.
+SOURCES = 100_000
 SHARE = 1.5
 CAP = 2.0
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -52,77 +53,84 @@ def targets(sizes: Iterable[tuple[str | None, int]], share: float = SHARE, cap:
     return out
 
 
-def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 7, share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: key, size, source_size, target, copies, taken, and ``carry``.
+def _rates(rows: DataFrame, goals: DataFrame, cap: float, full: int) -> DataFrame:
+    """(_s, _rate): the copies of a document in full, so that all copies of a source's documents add up to its target.
 
-    Null sources form one source of their own, last in order; documents without words are
-    worth no words and get the whole copies only. Rows equal in key and text share a hash and are cut in
-    an arbitrary but fixed count. The sizes of all sources, one row each, go to the driver.
+    Documents of one level, min(words, full), get the same number of copies. From the highest level down, levels reach the
+    cap; the first level that stays under it with the rate that the rest would need settles the rate.
+    """
+    level = F.least("_size", F.lit(full))
+    words = rows.filter("_size > 0").groupBy("_source", level.alias("_level")).agg(F.sum("_size").alias("_n"))
+    words = words.join(F.broadcast(goals), F.col("_source").eqNullSafe(F.col("_s")))
+    by = Window.partitionBy("_s").orderBy(F.desc("_level"))
+    above = F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum(F.col("_n") * F.col("_level") / full).over(by.rowsBetween(0, Window.unboundedFollowing))
+    words = words.withColumn("_rate", (F.col("target") - cap * above) / below)
+    fits = words.filter(F.col("_rate") * F.col("_level") / full <= cap * (1 + 1e-9))
+    return fits.groupBy("_s").agg(F.max_by("_rate", "_level").alias("_rate"))
+
+
+def _cut(rows: DataFrame, bin_: Column, room: str) -> DataFrame:
+    """(_s, _bin, _before): each source's bin in which its sum of words passes ``room``, and the words before it."""
+    before = Window.partitionBy("_s").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy("_s", bin_.alias("_bin")).agg(F.sum("_size").alias("_n"), F.first(room).alias("_room"))
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return bins.filter((F.col("_before") < F.col("_room")) & (F.col("_before") + F.col("_n") >= F.col("_room"))).select("_s", "_bin", "_before")
+
+
+def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 7, share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS, full: int = FULL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: key, size, source_size, target, copies, taken, and ``carry`` as one struct of these columns.
+
+    Null sources form one source of their own, last in order; null and empty texts have no words and are not taken; a null key is
+    a key like others. Rows equal in key, text and source share a hash and stand side by side; which of them is cut does not show in the result.
+    An empty table gives no rows. Sources number SOURCES at most: their sizes, one row each, go to the driver. Columns of ``docs``
+    of any names are carried unharmed.
     """
+    spark = docs.sparkSession
     noise = F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.col(source))
-    rows = docs.select(
-        F.col(key).alias("_key"),
-        F.col(source).alias("_source"),
-        size.alias("_size"),
-        ((F.shiftrightunsigned(noise, 11) + 0.5) / float(1 << 53)).alias("_u"),
-        *[F.col(c) for c in carry],
-    )
+    kept = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), size.alias("_size"), ((F.shiftrightunsigned(noise, 11) + 0.5) / float(1 << 53)).alias("_u"), *kept)
     rows = settle(rows, "mix-sizes")
-    spark = docs.sparkSession
-    sums = [(r["_source"], r["n"]) for r in rows.groupBy("_source").agg(F.sum("_size").alias("n")).collect()]
+    sums = [(r["_source"], r["n"]) for r in rows.groupBy("_source").agg(F.sum("_size").alias("n")).limit(SOURCES + 1).collect()]
+    if len(sums) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     goal = targets(sums, share, cap, weights)
-    plan = []
-    for s, n in sums:
-        rate = goal[s] / n if n else 0.0
-        whole = min(math.floor(rate + 1e-9), int(cap))
-        plan.append((s, n, goal[s], whole, max(0.0, rate - whole) if whole < cap else 0.0, goal[s] - whole * n))
-    table = spark.createDataFrame(plan, "_s string, source_size bigint, target double, _whole int, _p double, _rest double")
-    if len(plan) <= 100_000:
-        table = F.broadcast(table)
-    # odds of U over odds of p, mapped to (0, 1) so that bins are of equal width in that scale
-    p, u = F.col("_p"), F.col("_u")
-    odds = F.when((p > 0) & (p < 1), (u / (1 - u)) * ((1 - p) / p))
-    ranked = rows.join(table, F.col("_source").eqNullSafe(F.col("_s")), "inner").withColumn("_rank", odds / (1 + odds))
-    ranked = ranked.withColumn("_bin", F.least(F.floor(F.col("_rank") * BINS), F.lit(BINS - 1)))
-    by_source = Window.partitionBy("_s").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        ranked.filter("_bin is not null")
-        .groupBy("_s", "_bin", "_rest")
-        .agg(F.sum("_size").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(by_source), F.lit(0)))
-        .filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_n") >= F.col("_rest")))
-        .select(F.col("_s").alias("_cs"), F.col("_bin").alias("_cut"), "_before")
-    )
-    cuts = spark.createDataFrame(bins.collect(), "_cs string, _cut bigint, _before bigint")
-    if len(plan) <= 100_000:
-        cuts = F.broadcast(cuts)
-    placed = ranked.join(cuts, F.col("_s").eqNullSafe(F.col("_cs")), "left")
-    inside = F.col("_bin") == F.col("_cut")
-    order = Window.partitionBy("_s", "_inside").orderBy("_rank", "_key").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        placed.filter(inside)
-        .withColumn("_inside", F.lit(1))
-        .withColumn("_sofar", F.col("_before") + F.coalesce(F.sum("_size").over(order), F.lit(0)))
-        # the last one is taken if that ends nearer to the target
-        .withColumn("_extra", (F.col("_sofar") + F.col("_size") / 2 <= F.col("_rest")).cast("int"))
-        .drop("_inside", "_sofar")
-    )
-    rest = placed.filter(~F.coalesce(inside, F.lit(False))).withColumn("_extra", F.coalesce((F.col("_bin") < F.col("_cut")).cast("int"), F.lit(0)))
-    both = edge.unionByName(rest)
+    goals = spark.createDataFrame([(s, n, float(goal[s])) for s, n in sums], "_s string, source_size bigint, target double")
+    rates = _rates(rows, goals, cap, full).withColumnRenamed("_s", "_r")
+    goals = goals.join(rates, F.col("_s").eqNullSafe(F.col("_r")), "left").drop("_r")
+    copies = F.least(F.lit(float(cap)), F.coalesce("_rate", F.lit(0.0)) * F.least("_size", F.lit(full)) / full)
+    ranked = rows.join(F.broadcast(goals), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_copies", copies)
+    ranked = ranked.withColumn("_whole", F.floor(F.col("_copies") + 1e-9)).withColumn("_p", F.greatest(F.col("_copies") - F.col("_whole"), F.lit(0.0)))
+    odds = (F.col("_u") / (1 - F.col("_u"))) * ((1 - F.col("_p")) / F.col("_p"))
+    # odds mapped to (0, 1); no rank where there is nothing left to draw
+    ranked = settle(ranked.withColumn("_rank", F.when((F.col("_p") > 1e-9) & (F.col("_size") > 0), odds / (1 + odds))).drop("_u", "_p", "_copies", "_rate", "_source"), "mix-ranks")
+
+    same = lambda name: F.col("_s").eqNullSafe(F.col(name))
+    small = lambda df, name: F.broadcast(df.withColumnRenamed("_s", name))  # noqa: E731  (a row per source)
+    rest = ranked.groupBy("_s").agg((F.first("target") - F.sum(F.col("_whole") * F.col("_size"))).alias("_rest"))
+    open_ = ranked.filter("_rank is not null").join(small(rest, "_rs"), same("_rs")).drop("_rs")
+    bin_ = lambda n: F.least(F.floor(F.col("_rank") * n), F.lit(n - 1))
+    coarse = _cut(open_, bin_(BINS), "_rest").select(F.col("_s").alias("_cs"), F.col("_bin").alias("_coarse"), F.col("_before").alias("_from"))
+    inner = open_.join(F.broadcast(coarse), same("_cs") & (bin_(BINS) == F.col("_coarse"))).withColumn("_left", F.col("_rest") - F.col("_from"))
+    fine = _cut(inner, bin_(BINS * BINS), "_left").select("_s", F.col("_bin").alias("_cut"), F.col("_before").alias("_inside"))
+    fine = coarse.join(fine, F.col("_cs").eqNullSafe(F.col("_s"))).select("_cs", "_cut", (F.col("_from") + F.col("_inside")).alias("_before"))
+    cuts = settle(rest.withColumnRenamed("_s", "_rs").join(fine, F.col("_rs").eqNullSafe(F.col("_cs")), "left").drop("_cs"), "mix-cuts")
+    placed = ranked.join(F.broadcast(cuts), same("_rs"))
+    at_cut = F.col("_rank").isNotNull() & (bin_(BINS * BINS) == F.col("_cut"))
+    order = Window.partitionBy("_s").orderBy("_rank", "_key").rowsBetween(Window.unboundedPreceding, -1)
+    sofar = F.col("_before") + F.coalesce(F.sum("_size").over(order), F.lit(0))
+    # the last one is taken if that ends nearer to the target
+    edge = placed.filter(at_cut).withColumn("_extra", (sofar + F.col("_size") / 2 <= F.col("_rest")).cast("int"))
+    # a source whose ranks all fit has no cut
+    all_fit = F.col("_cut").isNull() & (F.col("_rest") > 0)
+    others = placed.filter(~F.coalesce(at_cut, F.lit(False))).withColumn("_extra", F.coalesce((F.col("_rank").isNotNull() & ((bin_(BINS * BINS) < F.col("_cut")) | all_fit)).cast("int"), F.lit(0)))
     copies = F.col("_whole") + F.col("_extra")
-    return both.select(
-        F.col("_key").alias(key),
-        *carry,
-        F.col("_size").alias("size"),
-        "source_size",
-        "target",
-        copies.cast("int").alias("copies"),
-        (copies * F.col("_size")).cast("bigint").alias("taken"),
+    return edge.unionByName(others).select(
+        F.col("_key").alias(key), F.col("_size").alias("size"), "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("_size")).cast("bigint").alias("taken"), *(["carried"] if carry else [])
     )
 
 
 def mixed(docs: DataFrame, size: Column, **options) -> DataFrame:
-    """The documents of the mix with all their columns, repeated as often as they are taken."""
-    kept = docs.columns
-    chosen = mix(docs, size, carry=tuple(c for c in kept if c != options.get("key", "doc_id")), **options)
-    return chosen.filter("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*kept)
+    """The documents of the mix with all their columns, of whatever names, repeated as often as they are taken."""
+    chosen = mix(docs, size, carry=tuple(docs.columns), **options)
+    return chosen.filter("copies > 0").select("carried", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).select("carried.*")

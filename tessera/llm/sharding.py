@@ -2,9 +2,8 @@
 
 Rows get one order by a range shuffle of their digests (texts stay where they are read),
 every partition sums its own sizes, and the running totals of the partitions, one row
-each, turn local sums into global ones. Shard k holds the rows that start in the k-th equal
-part of all bytes. Equal texts lie side by side; a cut that would fall into the
-first bytes of such a group moves to its start, so only groups larger than that are split.
+each, turn local sums into global ones. Cuts lie at equal targets of bytes. Equal texts lie side by side; a cut inside such a group moves to
+its nearer end if that is within SLACK of a shard's bytes, else to the nearer end of the row, so only larger groups are split.
 """
 
 from __future__ import annotations
@@ -21,8 +20,8 @@ from tessera.workspace import settle, ship
 
 ship()
 
-#: A cut moves back to the start of a group of equal texts by at most this part of a shard.
-SLACK = 0.01
+#: A cut moves to an end of a group of equal texts over at most this part of a shard.
+SLACK = 0.03
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +46,8 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     """One row per document: key, size, text_crc32, law, shard, slot, grown_shard.
 
     A null text has size 1 and the checksum of no bytes. Null keys sort first; repeated rows
-    are placed one by one; an empty table gives no rows. ``slot`` counts from 0 in each shard.
+    are placed one by one; an empty table gives no rows; a text larger than a shard fills one and leaves others short or empty. ``slot`` counts
+    from 0 in each shard. Other columns are not looked at.
     """
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -78,14 +78,26 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     total = max(bytes_, 1)
     at = F.col("part_bytes") + F.col("before")
     group_at = F.when(F.col("digest") == F.col("first"), F.col("first_at")).otherwise(F.col("part_bytes") + F.col("group_at"))
-    start_at = F.when(at - group_at <= int(slack * total / shards), group_at).otherwise(at)
-    placed = local.join(table, "part").select(
-        "key",
-        "size",
-        "crc",
-        F.least(F.floor(start_at * shards / F.lit(total)), F.lit(shards - 1)).cast("int").alias("shard"),
-        (F.col("part_rows") + F.col("row")).alias("global_row"),
-    )
+    spread = local.join(table, "part").select("key", "size", "crc", at.alias("at"), group_at.alias("group_at"), (F.col("part_rows") + F.col("row")).alias("global_row"))
+    goals = [k * total / shards for k in range(1, shards)]
+    # the rows over which a goal falls, and the ends of their groups: a row per cut
+    over = F.lit(False)
+    for g in goals:
+        over = over | ((F.col("at") <= g) & (F.col("at") + F.col("size") > g))
+    rows_at = spread.filter(over).select("at", "size", "group_at").collect()
+    groups = sorted({r["group_at"] for r in rows_at})
+    ends = {r["group_at"]: r["end"] for r in spread.filter(F.col("group_at").isin(groups)).groupBy("group_at").agg(F.max(F.col("at") + F.col("size")).alias("end")).collect()}
+    cuts = []
+    for g in goals:
+        r = next((r for r in rows_at if r["at"] <= g < r["at"] + r["size"]), None)
+        if r is not None:
+            nearer = lambda *x: min(x, key=lambda y: abs(y - g))  # noqa: B023, E731
+            whole = nearer(r["group_at"], ends[r["group_at"]])
+            cuts.append(whole if abs(whole - g) <= slack * total / shards else nearer(r["at"], r["at"] + r["size"]))
+    shard_of = F.lit(0)
+    for c in cuts:
+        shard_of = shard_of + (F.col("at") >= c).cast("int")
+    placed = spread.select("key", "size", "crc", shard_of.cast("int").alias("shard"), "global_row")
     firsts = placed.groupBy("shard").agg(F.min("global_row").alias("first_row")).collect()
     bases = F.broadcast(spark.createDataFrame(firsts, "shard int, first_row bigint"))
     return placed.join(bases, "shard").select(

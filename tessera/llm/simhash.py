@@ -280,33 +280,43 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.unionByName(more.select("a", "b"))
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """(fp, least): the smallest key reachable from each fingerprint of ``rows`` (key, fp)."""
+    distinct = settle(rows.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
+    member = components(links(distinct)).withColumnRenamed("node", "fp")
+    linked = distinct.join(member, "fp")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    renamed = member.join(least, "root").select("fp", "least")
+    return distinct.join(renamed, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, fingerprint (16 hex digits), component_id.
 
     ``component_id`` is the smallest key reachable over links. Null and empty texts and texts of white space
-    have fingerprint zero; null keys take part but are no component's name unless all are null.
+    have fingerprint zero; null keys take part but are no component's name unless all are null. Repeated rows are each
+    returned; texts of any length are read whole; an empty table gives no rows; other columns are not looked at.
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     rows = settle(source.mapInArrow(_fingerprints, f"key {docs.schema[key].dataType.simpleString()}, fp bigint"), "fingerprints")
-    distinct = settle(rows.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
-    member = components(links(distinct)).withColumnRenamed("node", "fp")
-    linked = distinct.join(member, "fp")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    renamed = member.join(least, "root").select("fp", "least")
-    name = distinct.join(renamed, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(name, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_named(rows), "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest key (rows that repeat a key count once).
+    """``docs`` with one row of each group: the one with the smallest key, then the smallest hash of its text.
 
-    A row without a key goes by a negative number made from its text.
+    Rows are told apart by key and text, so rows that share a key but not a group all stay; rows equal in both count once. Rows without
+    a key come last. Null and empty texts form one group. All columns stay, whatever their names; an empty table stays empty.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_key", F.coalesce(F.col(key), -1 - F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2)))
-    found = near_duplicates(keyed, "_key", text)
-    kept = found.filter(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    rows = keyed.join(kept, "_key")
-    once = rows.filter("_n = 1").select(*columns)
-    again = rows.filter("_n > 1").dropDuplicates(["_key"]).select(*columns)
+    columns, row = docs.columns, "_row"
+    while row in columns:
+        row += "_"
+    at = F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    kind = "struct<none:boolean,key:bigint,text:bigint>"
+    source = docs.select(at.cast(kind).alias("key"), F.col(text).cast("binary").alias("text"))
+    rows = settle(source.mapInArrow(_fingerprints, f"key {kind}, fp bigint"), "fingerprints")
+    kept = rows.join(_named(rows), "fp").filter("key = least").groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.col("key").alias(row), "n")
+    found = docs.withColumn(row, at.cast(kind)).select(F.col(row), F.struct(*[F.col(c) for c in columns]).alias("all")).join(kept, row)
+    once = found.filter("n = 1").select("all.*")
+    again = found.filter("n > 1").groupBy(row).agg(F.min("all").alias("all")).select("all.*")
     return once.unionByName(again)

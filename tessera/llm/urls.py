@@ -2,8 +2,8 @@
 
 URLs with a label become transactions of tokens (host labels, words of the path, names in
 the query) plus an item for a bad label. Spark's FP-growth finds the frequent token sets and
-the rules that imply the bad item; rules below the support and confidence thresholds, and
-rules that a shorter one makes needless, are pruned. The rest are matched by an inverted
+the rules that imply the bad item; rules below the support, rules whose confidence is not well above the share of bad
+URLs (by lift, and by a test against chance), and rules that a shorter one makes needless, are pruned. The rest are matched by an inverted
 index from token to rules: a rule applies when the tokens of a URL reach it as often as it
 has tokens. Everything is built-in DataFrame operations.
 
@@ -13,6 +13,7 @@ has a proven bound and travels inside the plan.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 BAD = "=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT = 0.002
-MIN_CONFIDENCE = 0.6
-#: URLs that must bear a rule out, however few are labelled.
-MIN_COUNT = 10
+#: Confidence over the share of all bad URLs, and by how many standard deviations the bad URLs of a rule must exceed that share.
+MIN_LIFT = 2.0
+MIN_SIGMA = 3.0
 
 
 @dataclass(frozen=True)
@@ -83,19 +84,31 @@ def tokens_of(url: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Mined]:
-    """Rules from rows with a URL and a boolean label. Fewer than ``MIN_COUNT`` bad rows: no rules."""
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, min_sigma: float = MIN_SIGMA) -> list[Mined]:
+    """Rules from rows with a URL and a boolean label.
+
+    Rows without a label or without tokens teach nothing; rows that repeat count each; without rows, bad ones or good ones there are no rules.
+    ``support`` is the share of URLs with the tokens and the label.
+    """
     items = labelled.filter(F.col(bad).isNotNull()).select(F.concat(tokens_of(F.col(url)), F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).filter(F.size("items") > 0)
     seen = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
-    support = max(min_support, MIN_COUNT / max(seen["n"], 1))
-    if seen["bad"] < MIN_COUNT or support > 1:
+    share = seen["bad"] / max(seen["n"], 1)
+    if not 0 < share < 1:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.sort_array("antecedent").alias("tokens"), "support", "confidence")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min(1.0, share * min_lift)).fit(items)
+    found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    urls = F.col("support") / F.col("confidence") * seen["n"]  # that have the tokens
+    # half a URL less, for small numbers
+    found = found.filter((F.col("confidence") - share) * urls - 0.5 >= min_sigma * F.sqrt(urls * share * (1 - share)))
+    found = found.select(F.sort_array("antecedent").alias("tokens"), "support", "confidence")
     rules = sorted((Mined(tuple(r["tokens"]), r["support"], r["confidence"]) for r in found.collect()), key=lambda r: (len(r.tokens), -r.confidence, r.tokens))
     kept: list[Mined] = []
+    posting: dict[str, list[int]] = {}
     for r in rules:
-        if not any(set(k.tokens) <= set(r.tokens) for k in kept):
+        hits = Counter(i for t in r.tokens for i in posting.get(t, ()))
+        if all(n < len(kept[i].tokens) for i, n in hits.items()):  # no kept rule lies within this one
+            for t in r.tokens:
+                posting.setdefault(t, []).append(len(kept))
             kept.append(r)
     return kept
 
@@ -122,20 +135,24 @@ def judge(pages: DataFrame, mined: list[Mined], path_rules: tuple[PathRule, ...]
     """``pages`` with host, path, rule and verdict, row by row without a shuffle.
 
     A null URL or one without ``://`` has an empty host and path, fits no rule and is judged
-    by its (no) tokens: allowed.
+    by its (no) tokens: allowed. Repeated rows are judged alike, an empty table gives no rows; columns of ``pages`` named host, path, rule or
+    verdict are replaced, others stay.
     """
     host, path = F.col("host"), F.col("path")
+    tokens = "_tokens"
+    while tokens in pages.columns:
+        tokens += "_"
     rule, by_rule = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(path_rules, key=lambda r: len(r.name)):  # longer ones go outside, so they win
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         rule = F.when(fits, r.name).otherwise(rule)
         by_rule = F.when(fits, r.verdict).otherwise(by_rule)
-    method = F.when(matched(F.col("_tokens"), mined), "block").otherwise("allow")
+    method = F.when(matched(F.col(tokens), mined), "block").otherwise("allow")
     return (
-        pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "_tokens": tokens_of(F.col(url))})
+        pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), tokens: tokens_of(F.col(url))})
         .withColumn("rule", rule)
         .withColumn("verdict", F.coalesce(by_rule, method))
-        .drop("_tokens")
+        .drop(tokens)
     )
 
 
