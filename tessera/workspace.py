@@ -49,10 +49,13 @@ def release_memory() -> None:
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, else one made for this application."""
+    """The shared folder: ``spark.checkpoint.dir``; a local session without it gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tessera-")
