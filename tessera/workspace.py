@@ -73,7 +73,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     where = path(spark, name)
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._settled_at = where
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that no plan reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(t._settled_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
