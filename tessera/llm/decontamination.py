@@ -40,8 +40,8 @@ NEAR = 0.8
 PARAPHRASE = 0.55
 ANSWER = 0.8
 SEED = 11
-#: Words of documents that are laid side by side and compared in one step, and cells of their table of words.
-STEP, CELLS = 1 << 15, 1 << 22
+#: Words of documents that are laid side by side in one step of the fit and of the search, and cells of their table of words.
+FIT_STEP, STEP, CELLS = 1 << 11, 1 << 14, 1 << 22
 #: ASCII characters other than letters and digits become spaces.
 _SPACES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -104,15 +104,8 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def hops(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sums of the table's rows over each hop of HOP words; other words add nothing."""
-    n = -(-len(ids) // HOP)
-    out = np.zeros((n, table.shape[1]), np.float32)
-    at = np.flatnonzero(ids)
-    if len(at):
-        hop = at // HOP
-        first = np.flatnonzero(np.r_[True, hop[1:] != hop[:-1]])
-        out[hop[first]] = np.add.reduceat(table[ids[at]], first, axis=0)
-    return out
+    """Sums of the table's rows over each hop of HOP words; other words have an empty row."""
+    return table[ids].reshape(-1, HOP, table.shape[1]).sum(axis=1)
 
 
 def laid(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,14 +125,14 @@ def passages(sums: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(docs: list[np.ndarray], cells: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(number of the first, documents) of about STEP words; at least one document, at most ``cells`` of them."""
+def chunks(docs: list[np.ndarray], cells: int, step: int = STEP) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(number of the first, documents) of about ``step`` words; at least one document, at most ``cells`` of them."""
     some: list[np.ndarray] = []
     size = 0
     for k, d in enumerate(docs):
         some.append(d)
         size += len(d)
-        if size >= STEP or len(some) >= cells or k + 1 == len(docs):
+        if size >= step or len(some) >= cells or k + 1 == len(docs):
             yield k + 1 - len(some), some
             some, size = [], 0
 
@@ -203,7 +196,7 @@ def fit(encoded: DataFrame, bench: Benchmark, rank: int = RANK, extra: int = EXT
         table = weighed.value
         z = np.zeros(table.shape, np.float64)
         for b in batches:
-            for _, some in chunks([np.frombuffer(data.as_buffer(), "<u4") for data in b.column("ids")], b.num_rows):
+            for _, some in chunks([np.frombuffer(data.as_buffer(), "<u4") for data in b.column("ids")], b.num_rows, FIT_STEP):
                 ids, begin = laid(some)
                 at = np.flatnonzero(ids)
                 if not len(at):
@@ -211,10 +204,9 @@ def fit(encoded: DataFrame, bench: Benchmark, rank: int = RANK, extra: int = EXT
                 y = passages(hops(ids, table), begin)
                 both = y.copy()
                 both[1:] += y[:-1]  # the passages that a hop is in
-                order = at[np.argsort(ids[at], kind="stable")]
-                found = ids[order]
-                first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-                z[found[first]] += np.add.reduceat(both[order // HOP], first, axis=0)
+                found, word = np.unique(ids[at], return_inverse=True)
+                counts = np.bincount(at // HOP * len(found) + word, minlength=len(both) * len(found)).reshape(len(both), -1)
+                z[found] += counts.T.astype(np.float32) @ both
         yield from _blocks(z)
         release_memory()
 
@@ -332,13 +324,13 @@ def matches(docs: list[np.ndarray], model: Model) -> list[dict[int, tuple[float,
             region = ids[max(int(begin[d]), at - m) : min(int(begin[d + 1]), at + PASSAGE + m)]
             mark[region] = True
             mark[0] = False
-            bound, here = int(mark[part].sum()), bool(mark[model.answers[k[x]]].sum() >= model.need[k[x]])
+            bound, here = np.count_nonzero(mark[part]), np.count_nonzero(mark[model.answers[k[x]]]) >= model.need[k[x]]
             mark[region] = False
             if bound < (PARAPHRASE if here else NEAR) * m:
                 continue
             share = common(part, region) / m
             if share >= NEAR or (share >= PARAPHRASE and here):
-                found = (float(near[w[x], k[x]]), share, here)
+                found = (float(near[w[x], k[x]]), share, bool(here))
                 old = out[before + d].get(item, found)
                 out[before + d][item] = max(old, found, key=lambda y: (y[1], y[2], y[0]))
     return out
