@@ -142,7 +142,7 @@ def baskets(purchases: DataFrame, user: str, day: str, item: str) -> DataFrame:
 
 
 def user_folds(users: DataFrame, user: str, k: int, seed: int = 42) -> DataFrame:
-    """(user, fold): users in seeded random order, dealt in turn."""
+    """(user, fold): users in seeded random order, dealt by a hash of their id, so folds are of nearly equal size."""
     if k < 2:
         raise EngineError("two folds or more")
     return users.select(user).distinct().withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(user)), F.lit(k)).cast("int"))

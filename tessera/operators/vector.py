@@ -59,15 +59,28 @@ def vector_column(df: DataFrame, name: str | None = None) -> str:
 def batch_top_k(df: DataFrame, column: str, key: str, queries: DataFrame, query_key: str, query_column: str, k: int, metric: str = "cosine", skip_self: bool = False) -> DataFrame:
     """(query, key, score, rank) of the k best rows for each query.
 
-    Queries become one matrix (at most BATCH_NUMBERS numbers, else an error); every task multiplies its batches by
-    it and keeps k per query, so what is shuffled is tasks x queries x k rows.
+    Queries become matrices of at most BATCH_NUMBERS numbers, one pass over the rows each; every task multiplies its batches by
+    it and keeps k per query, so what is shuffled is tasks x queries x k rows. Vectors of other dimensions or with numbers
+    that are not finite are an error; rows without a vector go.
     """
     name = V.metric_name(metric)
     found = queries.select(F.col(query_key).cast("bigint").alias("q"), F.col(query_column).alias("v")).collect()
+    found = [r for r in found if r["v"]]
+    if len({len(r["v"]) for r in found}) > 1:
+        raise EngineError("vectors of different dimensions")
+    at_once = max(1, BATCH_NUMBERS // max(1, len(found[0]["v"]) if found else 1))
+    parts = [_one_batch(df, column, key, found[i : i + at_once], k, name, skip_self) for i in range(0, max(1, len(found)), at_once)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _one_batch(df: DataFrame, column: str, key: str, found: list, k: int, name: str, skip_self: bool) -> DataFrame:
     ids = np.array([r["q"] for r in found], np.int64)
     matrix = np.array([r["v"] for r in found], np.float64)
-    if matrix.size > BATCH_NUMBERS:
-        raise EngineError("too many queries for one batch; split them")
+    if not np.isfinite(matrix).all():
+        raise EngineError("a vector holds a number that is not finite")
     size = np.linalg.norm(matrix, axis=1) if len(matrix) else np.zeros(0)
     shared = df.sparkSession.sparkContext.broadcast((ids, matrix, size))
 
@@ -78,15 +91,19 @@ def batch_top_k(df: DataFrame, column: str, key: str, queries: DataFrame, query_
             if not b.num_rows or not len(q):
                 continue
             keys = b.column(0).to_numpy(zero_copy_only=False)
+            if (np.diff(b.column(1).offsets.to_numpy()) != q.shape[1]).any():
+                raise EngineError("vectors of different dimensions")
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            dots = q @ x.T
+            if not np.isfinite(x).all():
+                raise EngineError("a vector holds a number that is not finite")
+            dots = q @ x.T if name != "euclidean" else None
             if name == "dot":
                 s = dots
             elif name == "cosine":
                 n = q_size[:, None] * np.linalg.norm(x, axis=1)[None, :]
                 s = np.clip(np.divide(dots, n, out=np.zeros_like(dots), where=n > 0), -1, 1)
             else:
-                s = 1 / (1 + np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(-1))) if q.size * len(x) < 5e7 else 1 / (1 + np.sqrt(np.maximum(0, q_size[:, None] ** 2 + (x * x).sum(1)[None, :] - 2 * dots)))
+                s = np.stack([1 / (1 + np.sqrt(((x - y) ** 2).sum(axis=1))) for y in q])
             kk = np.broadcast_to(keys, s.shape)
             if skip_self:
                 s = np.where(kk == ids[:, None], -np.inf, s)
@@ -99,7 +116,7 @@ def batch_top_k(df: DataFrame, column: str, key: str, queries: DataFrame, query_
             [pa.array(np.repeat(ids, w)[keep]), pa.array(best_k.ravel()[keep]), pa.array(best_s.ravel()[keep])], names=["query", "key", "score"]
         )
 
-    rows = df.filter(F.col(column).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(column).alias("v"))
+    rows = df.filter(F.col(column).isNotNull() & (F.size(column) > 0)).select(F.col(key).cast("bigint").alias("key"), F.col(column).alias("v"))
     w = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), F.col("key").asc())
     return rows.mapInArrow(run, "query bigint, key bigint, score double").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -108,18 +125,21 @@ def lists_for(n: int) -> int:
     return max(1, math.isqrt(n))
 
 
-def probes_for(lists: int) -> int:
-    return max(1, math.ceil(math.sqrt(lists)))
+#: Recall at NEIGHBOURS that the number of probed lists is chosen for, and the vectors it is measured with.
+RECALL, NEIGHBOURS, MEASURED = 0.95, 10, 64
 
 
 class InvertedFile:
     """Vectors in lists by nearest centroid. Centroids come from a bounded sample; every row is assigned.
 
-    Search probes the nearest lists and goes on to further ones until it has k candidates.
+    The number of lists to probe is measured at the build: over a bounded sample of vectors, the fewest that reach RECALL of
+    their exact neighbours (``recall`` holds what was reached). Search goes on to further lists until it has k candidates;
+    ``probes`` of all lists is the exact way.
     """
 
-    def __init__(self, df: DataFrame, column: str, key: str, centroids: np.ndarray, metric: str):
+    def __init__(self, df: DataFrame, column: str, key: str, centroids: np.ndarray, metric: str, probes: int | None = None, recall: float | None = None):
         self.df, self.column, self.key, self.centroids, self.metric = df, column, key, centroids, metric
+        self.probes, self.recall, self._sizes = probes or len(centroids), recall, None
 
     @classmethod
     def build(cls, df: DataFrame, column: str, key: str, metric: str = "euclidean", lists: int | None = None, seed: int = 42, sample_per_list: int = 256) -> InvertedFile:
@@ -129,11 +149,21 @@ class InvertedFile:
         lists = max(1, min(lists or lists_for(n), max(n, 1)))
         v = F.col(column).cast("array<double>")
         unit = F.when(V.norm(v) > 0, F.transform(v, lambda x: x / V.norm(v))).otherwise(v) if name == "cosine" else v
-        wanted = sample_per_list * lists
-        drawn = usable if n <= wanted else usable.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) < int(wanted / n * (1 << 40)))
-        model = KMeans(k=lists, seed=seed, maxIter=25, initMode="k-means||").fit(drawn.select(array_to_vector(unit).alias("features")))
+        draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40))
+        share = lambda wanted: usable if n <= wanted else usable.filter(draw < int(wanted / n * (1 << 40)))
+        model = KMeans(k=lists, seed=seed, maxIter=25, initMode="k-means||").fit(share(sample_per_list * lists).select(array_to_vector(unit).alias("features")))
         centroids = np.array(model.clusterCenters())
-        return cls(cls._assigned(usable, column, centroids, name), column, key, centroids, name)
+        index = cls(cls._assigned(usable, column, centroids, name), column, key, centroids, name)
+        index._measure(usable.orderBy(draw, key).limit(MEASURED))
+        return index
+
+    def _measure(self, queries: DataFrame) -> None:
+        exact = batch_top_k(self.df, self.column, self.key, queries, self.key, self.column, NEIGHBOURS, self.metric, skip_self=True)
+        near = exact.join(self.df.select(F.col(self.key).cast("bigint").alias("key"), "list_id"), "key").join(queries.select(F.col(self.key).cast("bigint").alias("query"), F.col(self.column).alias("v")), "query")
+        place = np.sort([self.order([float(x) for x in r["v"]]).index(r["list_id"]) for r in near.select("v", "list_id").collect()])
+        if len(place):
+            self.probes = int(place[min(len(place) - 1, math.ceil(RECALL * len(place)) - 1)]) + 1
+            self.recall = float((place < self.probes).mean())
 
     @staticmethod
     def _assigned(df: DataFrame, column: str, centroids: np.ndarray, metric: str) -> DataFrame:
@@ -153,7 +183,7 @@ class InvertedFile:
         """Write the lists as partitions, so a probe reads only its own files."""
         spark = self.df.sparkSession
         self.df.write.mode("overwrite").partitionBy("list_id").parquet(folder)
-        return InvertedFile(spark.read.parquet(folder), self.column, self.key, self.centroids, self.metric)
+        return InvertedFile(spark.read.parquet(folder), self.column, self.key, self.centroids, self.metric, self.probes, self.recall)
 
     def order(self, query: list[float]) -> list[int]:
         q = np.array(query, float)
@@ -164,12 +194,39 @@ class InvertedFile:
 
     def top_k(self, query: list[float], k: int, probes: int | None = None, where: Column | None = None) -> DataFrame:
         rows = self.df if where is None else self.df.filter(where)
-        order, take = self.order(query), probes or probes_for(len(self.centroids))
-        sizes = {r["list_id"]: r["count"] for r in rows.groupBy("list_id").count().collect()}  # one row per list
+        order, take = self.order(query), probes or self.probes
+        if where is None:
+            self._sizes = self._sizes or self._counted(rows)
+        sizes = self._sizes if where is None else self._counted(rows)
         while take < len(order) and sum(sizes.get(i, 0) for i in order[:take]) < k:
             take += 1
         return top_k(rows.filter(F.col("list_id").isin(*order[:take])), self.column, query, k, self.key, self.metric).drop("list_id")
 
+    @staticmethod
+    def _counted(rows: DataFrame) -> dict[int, int]:
+        return {r["list_id"]: r["count"] for r in rows.groupBy("list_id").count().collect()}  # one row per list
+
+    def batch_top_k(self, queries: DataFrame, query_key: str, query_column: str, k: int, probes: int | None = None) -> DataFrame:
+        """(query, key, score, rank): every query joins the rows of its nearest lists, all in one plan."""
+        take, centroids, metric = min(probes or self.probes, len(self.centroids)), self.centroids, self.metric
+
+        @F.pandas_udf("array<int>")
+        def nearest(v):
+            import pandas as pd
+
+            x = np.array(v.tolist(), np.float64)
+            if metric == "cosine":
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            cost = -(x @ centroids.T) if metric in ("dot", "cosine") else (centroids * centroids).sum(1)[None, :] - 2 * x @ centroids.T
+            return pd.Series(list(cost.argsort(axis=1, kind="stable")[:, :take].astype(np.int32)))
+
+        v = F.col(query_column).cast("array<double>")
+        asked = queries.filter(v.isNotNull()).select(F.col(query_key).cast("bigint").alias("query"), v.alias("_q"), F.explode(nearest(v)).alias("list_id"))
+        rows = self.df.select("list_id", F.col(self.key).cast("bigint").alias("key"), F.col(self.column).cast("array<double>").alias("_v"))
+        scores = rows.join(asked, "list_id").select("query", "key", V.score(metric, V.raw(metric, F.col("_v"), F.col("_q"))).alias("score"))
+        w = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), F.col("key").asc())
+        return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
 
 def recall(found: DataFrame, exact: DataFrame, by: str = "query", key: str = "key") -> DataFrame:
     """(query, recall): share of the exact neighbours that were found."""

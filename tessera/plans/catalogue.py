@@ -246,9 +246,9 @@ dialect(
 )
 
 
-@register("sort_desc_nulls", "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 20) s ON n_nationkey = s_nationkey ORDER BY s_suppkey DESC NULLS FIRST, n_nationkey LIMIT 12")
+@register("sort_desc_nulls", "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN supplier s ON n_nationkey = s_nationkey ORDER BY s_suppkey DESC NULLS FIRST, n_nationkey LIMIT 12")
 def sort_desc_nulls(spark, sf_dir):
-    a, b = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier").filter("s_suppkey < 20")
+    a, b = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     j = relational.joined(a, b, "n_nationkey", "s_nationkey", "left", "supplier")
     return relational.top(j, [relational.order(F.col("s_suppkey"), True), relational.order(F.col("n_nationkey"))], 12).select("n_nationkey", "s_suppkey")
 
@@ -297,11 +297,11 @@ def geo_bounds(spark, sf_dir):
 
 @register(
     "geo_batch_knn",
-    f"WITH q AS (SELECT id AS query, lat AS qlat, lon AS qlon FROM {_STORES} WHERE id <= 20), p AS (SELECT * FROM {_STORES}), d AS (SELECT query, id AS key, sqrt(pow(lat - qlat, 2) + pow(lon - qlon, 2)) AS distance FROM q, p) SELECT query, key, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, key) AS r FROM d) WHERE r <= 1",
+    f"WITH q AS (SELECT id AS query, lat AS qlat, lon AS qlon FROM {_STORES} WHERE id % 100 = 0), p AS (SELECT * FROM {_STORES}), d AS (SELECT query, id AS key, sqrt(pow(lat - qlat, 2) + pow(lon - qlon, 2)) AS distance FROM q, p) SELECT query, key, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, key) AS r FROM d) WHERE r <= 1",
 )
 def geo_batch_knn(spark, sf_dir):
     s = stores(spark, sf_dir)
-    points = [(r["id"], r["lat"], r["lon"]) for r in s.filter("id <= 20").select("id", "lat", "lon").collect()]
+    points = [(r["id"], r["lat"], r["lon"]) for r in s.filter("id % 100 = 0").select("id", "lat", "lon").collect()]
     return spatial.nearest_batch(s, points, 1, "id", "euclidean").select("query", "key", F.round("distance", 9).alias("distance"))
 
 
@@ -378,7 +378,7 @@ def text_tfidf(spark, sf_dir):
     return found.orderBy(F.col("score").desc(), "doc_id").limit(10)
 
 
-_BATCH = f"""WITH {_POST}, q AS (SELECT item_id AS query, u.term, count(*)::DOUBLE AS times FROM benchmark, unnest({_TOK}) AS u(term) WHERE item_id < 10 GROUP BY ALL)
+_BATCH = f"""WITH {_POST}, q AS (SELECT item_id AS query, u.term, count(*)::DOUBLE AS times FROM benchmark, unnest({_TOK}) AS u(term) GROUP BY ALL)
 SELECT query, key, round(score, 6) AS score FROM (SELECT query, post.doc_id AS key, sum(times * {_BM}) AS score, row_number() OVER (PARTITION BY query ORDER BY round(sum(times * {_BM}), 6) DESC, post.doc_id) AS r FROM post JOIN q USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id), stat GROUP BY query, post.doc_id) WHERE r <= 5"""
 
 
@@ -386,7 +386,7 @@ SELECT query, key, round(score, 6) AS score FROM (SELECT query, post.doc_id AS k
 def text_batch(spark, sf_dir):
     from pyspark.sql import Window
 
-    s = text.batch_bm25(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark").filter("item_id < 10"), "item_id", "text")
+    s = text.batch_bm25(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
     s = s.withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
     return s.withColumn("r", F.row_number().over(w)).filter("r <= 5").drop("r")
@@ -457,22 +457,20 @@ def vec_precision_label(spark, sf_dir):
     return rounded(evaluate.label_precision(_batch(spark, sf_dir), table(spark, sf_dir, "embeddings"), label_key="vec_id"))
 
 
-@register("vec_ivf_recall")
+@register("vec_ivf_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
 def vec_ivf_recall(spark, sf_dir):
-    """Recall of the inverted file at 10 against the exact search, for every 100th vector."""
+    """Whether the inverted file finds nine in ten of the 10 nearest, over every 100th vector."""
     t = table(spark, sf_dir, "embeddings")
     index = vector.InvertedFile.build(t, "embedding", "vec_id", "cosine").save(workspace.path(spark, "ivf"))
-    exact = vector.batch_top_k(t, "embedding", "vec_id", t.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10, "cosine")
-    found = None
-    for r in t.filter("vec_id % 100 = 0").collect():
-        got = index.top_k([float(x) for x in r["embedding"]], 10).select(F.lit(r["vec_id"]).alias("query"), F.col("vec_id").alias("key"))
-        found = got if found is None else found.unionByName(got)
-    return rounded(vector.recall(found, exact))
+    queries = t.filter("vec_id % 100 = 0")
+    exact = vector.batch_top_k(t, "embedding", "vec_id", queries, "vec_id", "embedding", 10, "cosine")
+    found = index.batch_top_k(queries, "vec_id", "embedding", 10)
+    return vector.recall(found, exact).agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("enough"))
 
 
-@register("vec_space_quality", "SELECT round(avg(CASE WHEN a.label = b.label THEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END), 6) AS intra, round(avg(CASE WHEN a.label <> b.label THEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END), 6) AS inter FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND a.vec_id < 200 AND b.vec_id < 200")
+@register("vec_space_quality", "SELECT round(avg(CASE WHEN a.label = b.label THEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END), 6) AS intra, round(avg(CASE WHEN a.label <> b.label THEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END), 6) AS inter FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id")
 def vec_space_quality(spark, sf_dir):
-    return rounded(evaluate.space_quality(table(spark, sf_dir, "embeddings").filter("vec_id < 200"), "label", "embedding", "vec_id"))
+    return rounded(evaluate.space_quality(table(spark, sf_dir, "embeddings"), "label", "embedding"))
 
 
 # -- bags of words: vectors as local descriptors, labels as objects, label means as the codebook

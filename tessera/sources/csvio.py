@@ -76,7 +76,7 @@ def typed(df: DataFrame, columns: list[tuple[str, str]]) -> tuple[DataFrame, Dat
 def import_into(catalog, table: str, path: str) -> dict:
     """Append a file's good rows to a table whose columns it has in any order; bad rows are counted, ten are quoted.
 
-    Rows whose key is there already, or repeats within the file (its first row in file order of the sorted values counts), fail too.
+    Rows whose key is there already, or repeats within the file (the first row in file order counts), fail too.
     """
     meta = catalog.table(table)
     df = read_text(catalog.spark, path)
@@ -84,9 +84,13 @@ def import_into(catalog, table: str, path: str) -> dict:
     missing = [c for c, _ in columns if c not in df.columns]
     if missing:
         raise CatalogError(f"the file has no column {', '.join(missing)}")
-    good, bad = typed(df, columns)
+    place = "_at"
+    while place in df.columns:
+        place += "_"
+    good, bad = typed(df.withColumn(place, F.monotonically_increasing_id().cast("string")), [*columns, (place, "bigint")])
     key = meta["key"]
-    fresh = good.dropDuplicates([key]).filter(F.col(key).isNotNull())
+    row = F.struct(place, *[F.col(c) for c, _ in columns])
+    fresh = good.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.col(place)).alias("row")).select("row.*").drop(place)
     if meta["parts"]:
         fresh = fresh.join(catalog.read(table).select(key), key, "left_anti")
     n_read = df.select(F.lit(1)).count()

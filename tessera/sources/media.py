@@ -7,8 +7,9 @@ import io
 import os
 import re
 import shutil
+import struct
 import subprocess
-import wave
+import tempfile
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -59,23 +60,37 @@ def kind_of(data: bytes, name: str = "", kind: str | None = None) -> str:
     raise EngineError(f"neither image nor sound: {name}")
 
 
+def _chunks(data: bytes) -> dict[bytes, bytes]:
+    """The first chunk of each name in a RIFF file: after 12 bytes, name, length, and contents filled up to an even length."""
+    out: dict[bytes, bytes] = {}
+    at = 12
+    while at + 8 <= len(data):
+        name, size = struct.unpack_from("<4sI", data, at)
+        out.setdefault(name, data[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    return out
+
+
 def read_wav(data: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in -1..1 and their rate; what is not PCM WAV goes through ffmpeg where that is installed."""
-    if data[:4] != b"RIFF":
-        data = _transcoded(data)
-    try:
-        with wave.open(io.BytesIO(data)) as w:
-            channels, width, rate, raw = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(w.getnframes())
-    except (wave.Error, EOFError, ValueError) as e:
-        raise EngineError(f"not a PCM WAV: {e}") from e
-    if width not in (1, 2, 4):
-        raise EngineError(f"{8 * width} bits per sample are not supported")
-    x = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
-    x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
-    x = x[: len(x) - len(x) % channels].reshape(-1, channels).mean(1)
-    if not len(x):
+    """Mono samples in -1..1 and their rate; what is not a RIFF file goes through ffmpeg where that is installed.
+
+    Integers of 8 (unsigned), 16 and 32 bits are read, in any number of channels.
+    """
+    found = _chunks(data if data.startswith(b"RIFF") else _transcoded(data))
+    if len(found.get(b"fmt ", b"")) < 16 or b"data" not in found:
+        raise EngineError("not a PCM WAV: no format or no samples")
+    code, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", found[b"fmt "])
+    numbers = {8: (np.uint8, 128, 128), 16: ("<i2", 0, 1 << 15), 32: ("<i4", 0, 1 << 31)}
+    if code not in (1, 0xFFFE) or not channels:
+        raise EngineError("not a PCM WAV: another coding")
+    if bits not in numbers:
+        raise EngineError(f"{bits} bits per sample are not supported")
+    kind, middle, top = numbers[bits]
+    frames = len(found[b"data"]) // (bits // 8 * channels)
+    if not frames:
         raise EngineError("the sound has no samples")
-    return x, rate
+    mono = np.frombuffer(found[b"data"], kind, frames * channels).reshape(frames, channels).mean(axis=1)
+    return (mono - middle) / top, rate
 
 
 def _transcoded(data: bytes) -> bytes:
@@ -121,20 +136,21 @@ def _netpbm(data: bytes) -> np.ndarray:
 
 
 def save_upload(folder: str, name: str, data: bytes, mime: str | None = None) -> str:
-    """Keep an upload under a safe name: the same content once, other content of that name with a hash."""
+    """Keep an upload under the digest of its content and its own extension, so names never meet and equal files are kept once.
+
+    It is written beside its place and renamed, so a reader never sees half a file.
+    """
     if mime is not None and mime.lower() not in MIME:
         raise EngineError(f"files of type {mime} are not accepted")
-    safe = re.sub(r"[^A-Za-z0-9._-]+", "_", Path(name).name).strip("._") or "file"
-    digest = hashlib.sha256(data).hexdigest()
-    target = Path(folder) / safe
-    target.parent.mkdir(parents=True, exist_ok=True)
-    if target.exists() and hashlib.sha256(target.read_bytes()).hexdigest() != digest:
-        target = target.with_name(f"{target.stem}_{digest[:10]}{target.suffix}")
-    if not target.exists():
-        beside = target.with_name(target.name + ".new")
-        beside.write_bytes(data)
-        beside.replace(target)
-    return str(target)
+    extension = os.path.splitext(name)[1].lower().lstrip(".")
+    kept = os.path.join(folder, hashlib.blake2b(data, digest_size=20).hexdigest() + (f".{extension}" if extension in IMAGES | SOUNDS else ""))
+    if not os.path.exists(kept):
+        os.makedirs(folder, exist_ok=True)
+        handle, part = tempfile.mkstemp(dir=folder)
+        with os.fdopen(handle, "wb") as f:
+            f.write(data)
+        os.replace(part, kept)
+    return kept
 
 
 def as_features(models: dict, roots: Iterable[str] = ()):
