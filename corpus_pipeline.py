@@ -16,29 +16,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language is too close to call."""
+    """Drops documents without letters (null and empty texts among them) and those whose language is too close to call.
+
+    Repeated rows are judged alike; without labelled texts nothing is known and nothing stays; an empty table stays empty.
+    """
     content = langid.dictionaries(langid.training_rows(docs, ~langid.held_out()))
     found = langid.identify(docs.select(*COLUMNS), content)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.MARGIN)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    return simhash.deduplicated(docs).select(*COLUMNS)
+    """Keeps the document with the smallest id of each group; null and empty texts form one group, rows without an id come last."""
+    return simhash.deduplicated(docs.select(*COLUMNS))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark item is found."""
+    """Drops documents in which a benchmark item is found; null and empty texts stay."""
     return decontamination.decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that each source's words meet its target."""
+    """Repeats and drops documents so that each source's words meet its target; documents without words go, null sources form one of their own."""
     return mixing.mixed(docs.select(*COLUMNS), mixing.word_count(F.col("text")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token-id files and returns a digest of each document read back from them."""
+    """Writes token-id files and returns a digest of each document read back from them; a null text has the end id only."""
     where = workspace.path(spark, "tokens")
     tokens.write_tokens(docs, where)
     return tokens.read_tokens(spark, where, digest=True)

@@ -177,7 +177,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def write_tokens(docs: DataFrame, where: str, file: str | None = None, key: str = "doc_id", text: str = "text", end: int = END, block: int = rangecoder.BLOCK) -> None:
-    """Write all texts (null: empty), each followed by ``end``, in ascending order of key (null first) and then text."""
+    """Write all texts (null: empty), each followed by ``end``, in ascending order of key (null first) and then text.
+
+    Repeated rows are written each. A text of any length is written whole, in one block. An empty table makes files without blocks;
+    other columns are not looked at.
+    """
     file = file or tokenizer_path()
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
