@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import zstandard
 
-MAGIC = b"TCM1"
+MAGIC = b"TCM2"
 #: magic, vocabulary, ids, documents, lanes, bytes of the document table, crc32 of the rest
 HEAD = "<4sIQIIII"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -40,10 +40,13 @@ _TOP, _BOTTOM = _U(1 << 48), _U(1 << 32)
 _ROOM = 1 << 24  # of _TOTAL that order 0 always keeps; its scaled counts sum to as much
 _SCALE = 24
 _MOST = (1 << 23) - (1 << 18)  # counts are halved beyond
+_FIND = 8  # order 0 is searched from a table of every 2^_FIND-th point on, _NEAR places at most by steps
+_NEAR = 2
 _INC = 8
 _CONF = 8
+_STEP = np.array([-(n - (n >> 1)) for n in range(_CONF)] + [int(n < _CONF - 1) for n in range(_CONF)], np.int64)  # of a confidence after a miss and after a hit
 _HASH = 18
-_OFTEN, _EVERY = 16, 8  # steps after each of which counts and weights are brought up to date; later every so many
+_OFTEN, _EVERY = 16, 32  # steps after each of which counts and weights are brought up to date; later every so many
 
 
 class _Model:
@@ -54,8 +57,8 @@ class _Model:
 
     def __init__(self, vocabulary: int):
         self.counts = np.ones(vocabulary, np.int64)
-        self.first = np.zeros(vocabulary, np.int32)
-        self.second = np.zeros(1 << _HASH, np.int32)
+        self.first = np.zeros(vocabulary, np.int64)
+        self.second = np.zeros(1 << _HASH, np.int64)
         self.seen = np.tile(np.array([4, 1, 1], np.int64), (2 * _CONF * _CONF, 1))
         self.steps, self.kinds, self.ids = 0, [], []
         self._refresh()
@@ -80,38 +83,52 @@ class _Model:
         self.cum = np.zeros(len(sums) + 1, np.int64)
         self.cum[1:] = (sums << _SCALE) // int(sums[-1])
         self.upto = self.cum[1:]
+        self.table = None
+
+    def symbols(self, points: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold the points."""
+        if self.table is None:
+            begun = np.bincount((self.upto[:-1] + (1 << _FIND) - 1) >> _FIND, minlength=1 << (_SCALE - _FIND))
+            self.table = np.cumsum(begun[: 1 << (_SCALE - _FIND)])
+        got = self.table.take(points >> _FIND)
+        late = np.flatnonzero(self.upto.take(got) <= points)
+        for _ in range(_NEAR):
+            got[late] += 1
+            late = late[self.upto[got[late]] <= points[late]]
+        got[late] = np.searchsorted(self.upto, points[late], side="right")
+        return got
 
     def look(self, prev: np.ndarray, prev2: np.ndarray) -> None:
         """Predictions of the next ids after the contexts."""
         self.prev = prev
         self.slot = ((prev * 0x9E3779B1 + prev2 * 0x85EBCA6B) >> 7) & ((1 << _HASH) - 1)
-        self.sa, self.sb = self.first[prev].astype(np.int64), self.second[self.slot].astype(np.int64)
+        self.sa, self.sb = self.first.take(prev), self.second.take(self.slot)
         self.na, self.nb = self.sa & (_CONF - 1), self.sb & (_CONF - 1)
         self.a, self.b = self.sa >> 3, self.sb >> 3
         self.ctx = (self.na * _CONF + self.nb) * 2 + (self.a == self.b)
-        self.wa, self.wb, self.wz = self.w1[self.ctx], self.w2[self.ctx], self.w0[self.ctx]
+        self.wa, self.wb, self.wz = self.w1.take(self.ctx), self.w2.take(self.ctx), self.w0.take(self.ctx)
 
     def interval(self, ids: np.ndarray, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids' intervals in the mix, for the lanes ``at``."""
         a, b, wa, wb, wz = self.a[at], self.b[at], self.wa[at], self.wb[at], self.wz[at]
-        low = self.cum[ids] * wz >> _SCALE
-        high = self.upto[ids] * wz >> _SCALE
+        low = self.cum.take(ids) * wz >> _SCALE
+        high = self.upto.take(ids) * wz >> _SCALE
         return low + wb * (b < ids) + wa * (a < ids), high - low + wb * (b == ids) + wa * (a == ids)
 
     def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids whose intervals hold the points, and these intervals."""
         a, b, wa, wb, wz = self.a, self.b, self.wa, self.wb, self.wz
-        a0 = (self.cum[a] * wz >> _SCALE) + wb * (b < a)
-        a1 = (self.upto[a] * wz >> _SCALE) + wb * (b <= a) + wa
-        b0 = (self.cum[b] * wz >> _SCALE) + wa * (a < b)
-        b1 = (self.upto[b] * wz >> _SCALE) + wa * (a <= b) + wb
+        a0 = (self.cum.take(a) * wz >> _SCALE) + wb * (b < a)
+        a1 = (self.upto.take(a) * wz >> _SCALE) + wb * (b <= a) + wa
+        b0 = (self.cum.take(b) * wz >> _SCALE) + wa * (a < b)
+        b1 = (self.upto.take(b) * wz >> _SCALE) + wa * (a <= b) + wb
         in_b = (at >= b0) & (at < b1)
         ids, start, end = np.where(in_b, b, a), np.where(in_b, b0, a0), np.where(in_b, b1, a1)
         rest = np.flatnonzero((at < start) | (at >= end))
         if len(rest):
             x = at[rest]
             x = x - wb[rest] * (x >= b1[rest]) - wa[rest] * (x >= a1[rest])
-            got = np.searchsorted(self.cum, (((x + 1) << _SCALE) - 1) // wz[rest], side="right") - 1
+            got = self.symbols((((x + 1) << _SCALE) - 1) // wz[rest])
             ids[rest] = got
             start[rest], width = self.interval(got, rest)
             end[rest] = start[rest] + width
@@ -124,7 +141,7 @@ class _Model:
         new = (ids << 3) | 1
         for table, at, state, n, hit in ((self.first, self.prev, self.sa, self.na, hit_a), (self.second, self.slot, self.sb, self.nb, hit_b)):
             # a hit adds to the confidence; a miss halves it, and replaces what had none left; among lanes in one context the last counts
-            table[at] = np.where(hit, state + (n < _CONF - 1), np.where(n > 1, state - n + (n >> 1), new))
+            table[at] = np.where(hit | (n > 1), state + _STEP.take(hit * _CONF + n), new)
         self.steps += 1
         if self.steps <= _OFTEN or self.steps % _EVERY == 0:
             self._refresh()

@@ -72,6 +72,7 @@ class Encoder:
         self.ends = regex.compile(f"(?<=[{LETTER}])(?=[^{LETTER}\\u0080-\\U0010ffff])")
         self.word = regex.compile(f"[{LETTER}]+")
         self.letters = _byte_letters()
+        self.merge = self.tokenizer.model.tokenize
 
     def whole(self, text: str) -> bytes:
         """By the library: little-endian 32-bit ids."""
@@ -85,7 +86,7 @@ class Encoder:
             if (word.isascii() and word.isalpha()) or self.word.fullmatch(word):  # one token of the pattern, so only the merges are left to do
                 if not word.isascii():
                     word = word.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(self.letters[32] + word if part[0] == " " else word)]).tobytes()
+                ids = array("I", [t.id for t in self.merge(self.letters[32] + word if part[0] == " " else word)]).tobytes()
             else:
                 ids = self.whole(part)
         if len(self.known) >= REMEMBERED // 2:  # parts met since the last change of generations stay
