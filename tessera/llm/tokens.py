@@ -120,8 +120,8 @@ class Encoder:
             slow |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
         blank = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), table, pa.scalar(" ", pa.large_string()))
         inner, begin, parts = _split(pc.replace_substring_regex(blank, f"([{LETTER}])([{ASCII_OTHERS}])", f"\\1{MARK}\\2"), MARK)
-        known = self.known.get
-        entries = [known(p) or self._part(p) for p in parts.to_numpy(zero_copy_only=False).tolist()]
+        names = parts.to_numpy(zero_copy_only=False).tolist()
+        entries = [e or self._part(p) for p, e in zip(names, list(map(self.known.get, names)))]
         # the first piece of a text has no blank before it; a slow text is one entry
         firsts = table.take(pa.array(codes[at[:-1]])).to_pylist()
         entries += [self.ids(texts[k].as_py()) if s else self.piece(firsts[k]) for k, s in enumerate(slow.tolist())]
