@@ -62,13 +62,13 @@ def visual(products: DataFrame, product: int | None = None, k: int = 10, key: st
 
 
 def similar_text(products: DataFrame, product: int, k: int = 10, key: str = "id", column: str = "descripcion") -> DataFrame:
-    """BM25 of the product's own text against all, the product left out."""
+    """BM25 of the product's own text against all, the product left out; equal texts tie and go by key."""
     row = products.filter(F.col(key) == product).select(column).first()
     if row is None:
         raise EngineError(f"unknown product: {product}")
     # a whole description has many terms: they are joined, not listed in the plan
     query = products.sparkSession.createDataFrame([(0, row[0] or "")], "q int, words string")
-    found = text_ops.batch_bm25(products, key, column, query, "q", "words")
+    found = text_ops.batch_bm25(products, key, column, query, "q", "words", reproducible=True)
     best = found.orderBy(F.col("score").desc(), F.col("key")).limit(k + 1)
     return best.filter(F.col("key") != product).select(F.col("key").alias(key), "score").orderBy(F.col("score").desc(), F.col(key)).limit(k)
 

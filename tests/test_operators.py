@@ -1,6 +1,7 @@
 """Operators against brute force and published small results."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -77,6 +78,18 @@ def test_text_scores(spark):
     assert text.sparse_cosine({"a": 1}, {}) == 0
 
 
+def test_similar_text_ties(spark):
+    """Copies whose terms are added up in any order tie exactly, so that the smaller keys come first."""
+    rng = random.Random(3)
+    words = [f"w{x}" for x in range(400)]
+    copy = " ".join(rng.choice(words) for _ in range(300))
+    shuffled = lambda: " ".join(rng.sample(copy.split(), 300))
+    rows = [(k, copy if k < 3 else shuffled()) for k in range(300)] + [(1000 + k, " ".join(rng.choice(words) for _ in range(60))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "id int, descripcion string").repartition(7, "descripcion")
+    got = recommend.similar_text(docs, 3, 10).collect()
+    assert [r.id for r in got] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10] and len({r.score for r in got}) == 1
+
+
 def test_text_index(spark, tmp_path):
     df = corpora.texts(spark, 80)
     i = text.TextIndex.build(df, "id", "texto", str(tmp_path / "i"), "v1")
