@@ -13,6 +13,8 @@ from tessera import workspace
 from tessera.llm import decontamination, langid, mixing, simhash, tokens
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Characters in one step of the token output, a quarter of what it takes alone: the heap is grown by the stages before.
+TOKEN_STEP = tokens.STEP >> 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes token-id files and returns a digest of each document read back from them; a null text has the end id only."""
     where = workspace.path(spark, "tokens")
-    tokens.write_tokens(docs, where)
+    tokens.write_tokens(docs, where, step=TOKEN_STEP)
     return tokens.read_tokens(spark, where, digest=True)
 
 

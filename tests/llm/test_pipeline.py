@@ -74,3 +74,20 @@ def test_run(spark, sf):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in ids) == want
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, steps[-1].collect()))
     assert steps[-1].agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == sum(r["n_tokens"] for r in ids)
+
+
+def test_token_output_hands_few_rows_at_once(spark, tmp_path, monkeypatch):
+    """Long texts reach a worker a few at a time, whatever the session's batch size, which is kept; files do not depend on the step."""
+    got = spark.conf.get(tokens.AT_ONCE)
+    docs = spark.range(3000).selectExpr("id doc_id", "concat_ws(' ', repeat('many long words ', 20), id) text").coalesce(1)
+    whole, seen = tokens.gathered, tmp_path / "rows"
+
+    def watched(batches, size):
+        return whole((b for b in batches if [seen.open("a").write(f"{b.num_rows}\n")]), size)
+
+    monkeypatch.setattr(tokens, "gathered", watched)
+    for name, step in (("a", tokens.STEP), ("b", 1000)):
+        tokens.write_tokens(docs, str(tmp_path / name), step=step)
+    assert max(map(int, seen.read_text().split())) <= tokens.ROWS and spark.conf.get(tokens.AT_ONCE) == got
+    a, b = (sorted(map(tuple, tokens.read_tokens(spark, str(tmp_path / n), digest=True).collect())) for n in "ab")
+    assert a == b and len(a) == 3000
