@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.workspace import settle
+from tessera.workspace import discard, settle
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -25,16 +25,19 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b: bigint) to (node, root): the smallest node reachable, for every node with a link.
 
-    Every round is written to the shared folder; rounds grow with the logarithm of
-    the number of nodes. Joins on a node with many neighbours are split by adaptive execution.
+    Every round is written to the shared folder in place of the one before; rounds grow with the logarithm of
+    the number of nodes. ``_reads`` is the table behind the result. Joins on a node with many neighbours are split by adaptive execution.
     """
     edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     tally = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("bigint")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
     before = tally(edges)
     while before[0]:
-        edges = settle(_small(_large(edges).filter("a <> b").distinct()).distinct(), "edges")
+        last, edges = edges, settle(_small(_large(edges).filter("a <> b").distinct()).distinct(), "edges")
+        discard(last)
         after = tally(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out._reads = edges
+    return out

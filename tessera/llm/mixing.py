@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.workspace import settle
+from tessera.workspace import discard, settle
 
 BINS = 1 << 8
 #: Words from which on a document counts in full.
@@ -104,6 +104,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     odds = (F.col("_u") / (1 - F.col("_u"))) * ((1 - F.col("_p")) / F.col("_p"))
     # odds mapped to (0, 1); no rank where there is nothing left to draw
     ranked = settle(ranked.withColumn("_rank", F.when((F.col("_p") > 1e-9) & (F.col("_size") > 0), odds / (1 + odds))).drop("_u", "_p", "_copies", "_rate", "_source"), "mix-ranks")
+    discard(rows)
 
     same = lambda name: F.col("_s").eqNullSafe(F.col(name))
     small = lambda df, name: F.broadcast(df.withColumnRenamed("_s", name))  # noqa: E731  (a row per source)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.workspace import release_memory, settle, ship
+from tessera.workspace import discard, release_memory, release_shuffles, settle, ship
 
 ship()
 
@@ -264,30 +264,38 @@ def _compare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp), as stars with the same components as all links."""
+    """Links (a, b) between distinct fingerprints (column fp), as stars with the same components as all links; ``_reads`` is the table behind them."""
     spark = distinct.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = distinct.select("fp").mapInArrow(_send, "anchor bigint, fp bigint, home boolean")
     met = settle(sent.repartition(n, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare, _LINKS), "links")
     found = met.filter("b is not null").select("a", "b")
     crowd = met.filter("b is null")
+    found._reads = met
     if crowd.isEmpty():
         return found
     chunks = crowd.groupBy("anchor").agg((F.max("chunk") + 1).alias("chunks"))
     dealt = crowd.join(chunks, "anchor").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select(F.xxhash64("anchor", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("pair"), F.col("a").alias("fp"), "home")
     more = dealt.repartition(n, "pair").sortWithinPartitions("pair", "fp").mapInArrow(_compare_pairs, _LINKS)
-    return found.unionByName(more.select("a", "b"))
+    found = found.unionByName(more.select("a", "b"))
+    found._reads = met
+    return found
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    """(fp, least): the smallest key reachable from each fingerprint of ``rows`` (key, fp)."""
+    """(fp, least): the smallest key reachable from each fingerprint of ``rows`` (key, fp); ``_reads`` are the tables behind them."""
     distinct = settle(rows.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
-    member = components(links(distinct)).withColumnRenamed("node", "fp")
+    found = links(distinct)
+    edges = components(found)
+    discard(found._reads)
+    member = edges.withColumnRenamed("node", "fp")
     linked = distinct.join(member, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     renamed = member.join(least, "root").select("fp", "least")
-    return distinct.join(renamed, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    out = distinct.join(renamed, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    out._reads = (distinct, edges._reads)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -315,7 +323,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     kind = "struct<none:boolean,key:bigint,text:bigint>"
     source = docs.select(at.cast(kind).alias("key"), F.col(text).cast("binary").alias("text"))
     rows = settle(source.mapInArrow(_fingerprints, f"key {kind}, fp bigint"), "fingerprints")
-    kept = rows.join(_named(rows), "fp").filter("key = least").groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.col("key").alias(row), "n")
+    named = _named(rows)
+    kept = rows.join(named, "fp").filter("key = least").groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.col("key").alias(row), "n")
+    kept = settle(kept, "kept")
+    discard(rows, *named._reads)
+    release_shuffles(docs.sparkSession)
     found = docs.withColumn(row, at.cast(kind)).select(F.col(row), F.struct(*[F.col(c) for c in columns]).alias("all")).join(kept, row)
     once = found.filter("n = 1").select("all.*")
     again = found.filter("n > 1").groupBy(row).agg(F.min("all").alias("all")).select("all.*")

@@ -2,12 +2,14 @@
 
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera import workspace
 from tessera.llm import decontamination, mixing, tokens
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, _key string"
@@ -91,3 +93,15 @@ def test_token_output_hands_few_rows_at_once(spark, tmp_path, monkeypatch):
     assert max(map(int, seen.read_text().split())) <= tokens.ROWS and spark.conf.get(tokens.AT_ONCE) == got
     a, b = (sorted(map(tuple, tokens.read_tokens(spark, str(tmp_path / n), digest=True).collect())) for n in "ab")
     assert a == b and len(a) == 3000
+
+
+def test_stages_leave_no_spent_tables(spark, sf):
+    """Of what a stage writes on the way, only what its result reads is there when it returns."""
+    folder = Path(workspace.root(spark)) / "tessera"
+    there = lambda: {p.name for p in folder.glob("*")}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage, left in ((corpus_pipeline.near_duplicates, ["kept"]), (corpus_pipeline.mixture, ["mix-cuts", "mix-ranks"])):
+        before = there()
+        found = stage(spark, docs, sf)
+        assert sorted(n.rsplit("-", 1)[0] for n in there() - before) == left
+        assert found.count()
