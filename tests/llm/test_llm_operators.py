@@ -705,6 +705,36 @@ def test_near_copies_are_found(spark):
         assert sum(p in got for p, m in want.items() if m == n) >= 54, n
 
 
+def test_whole_near_copies(spark):
+    """Every pair at the threshold has a row: lone pairs, groups of copies that differ two by two, three runs of 13 and 14, and a common line beside them."""
+    rng = np.random.default_rng(21)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    line, rows, want = words(22), [], set()
+
+    def add(passage):
+        rows.append((len(rows), " ".join(words(40) + line + words(30) + passage + words(60))))
+        return len(rows) - 1
+
+    for _ in range(60):  # lone pairs: 46 places, five of them unequal
+        a = words(50)
+        b = list(a)
+        b[int(rng.integers(10, 40))] = "changed"
+        want.add((add(b), add(a)))
+    for _ in range(10):  # six copies, each with another word changed: two of them differ in two words
+        a = words(60)
+        mine = [add([f"other{at}" if k == at else w for k, w in enumerate(a)]) for at in (10, 17, 26, 34, 42, 50)]
+        want |= {(x, y) for x in mine for y in mine if x < y}
+    for _ in range(5):
+        a = words(54)  # 50 places, 40 of them equal, in runs of 13, 14 and 13
+        b = list(a)
+        b[17] = b[36] = "changed"
+        want.add((add(a), add(b)))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), whole=True).collect()
+    found = {(r.other_id, r.doc_id) for r in got if r.doc_id != r.other_id}
+    assert found == {(min(p), max(p)) for p in want}
+    assert all(r.similarity >= passages.SIMILAR for r in got)
+
+
 def test_repeated_passages(spark, odd, empty):
     rng = np.random.default_rng(4)
     words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
