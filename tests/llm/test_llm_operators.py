@@ -735,6 +735,21 @@ def test_whole_near_copies(spark):
     assert all(r.similarity >= passages.SIMILAR for r in got)
 
 
+def test_query_links_all_near_copies(spark, tmp_path):
+    """The query links every two of six copies that differ from each other in two words."""
+    rng = np.random.default_rng(22)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, want = [], set()
+    for _ in range(10):
+        a = words(60)
+        mine = range(len(rows), len(rows) + 6)
+        rows += [(d, " ".join(words(40) + [f"other{at}" if k == at else w for k, w in enumerate(a)] + words(60))) for d, at in zip(mine, (10, 17, 26, 34, 42, 50))]
+        want |= {(x, y) for x in mine for y in mine if x < y}
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_substring_dedup(spark, str(tmp_path)).filter("doc_id <> other_id").collect()
+    assert {(r.other_id, r.doc_id) for r in got} == want
+
+
 def test_repeated_passages(spark, odd, empty):
     rng = np.random.default_rng(4)
     words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
