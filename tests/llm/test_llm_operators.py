@@ -735,6 +735,49 @@ def test_whole_near_copies(spark):
     assert all(r.similarity >= passages.SIMILAR for r in got)
 
 
+def test_common_lines_make_no_candidates(spark):
+    """Owners of a common line or of a repeated word meet only if what is around has enough shingles in common; those of one exact passage are of one class."""
+    rng = np.random.default_rng(23)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    line, passage, rows, want = words(20), words(70), [], set()
+
+    def add(*parts):
+        rows.append((len(rows), " ".join(sum(parts, []))))
+        return len(rows) - 1
+
+    for _ in range(60):
+        add(words(50), line, words(50))
+    for _ in range(30):  # the common line and a second one of 30 words whose middle differs
+        a, b = words(15), words(15)
+        want.add((add(words(30), line, a, ["one"], b, words(40)), add(words(30), line, a, ["other"], b, words(40))))
+    for _ in range(25):
+        add(words(30), ["the"] * 22, words(30))
+    same = {add(words(40), passage, words(40)) for _ in range(40)}
+    df = spark.createDataFrame(rows, "doc bigint, text string").selectExpr("doc", "cast(text as binary) text")
+    assert {(r.other, r.doc) for r in passages._seeded(df).collect()} - {(x, y) for x in same for y in same} == want
+    got = passages.repeated_passages(df.withColumnRenamed("doc", "doc_id"), whole=True).collect()
+    links = {(r.other_id, r.doc_id) for r in got if r.doc_id != r.other_id}
+    assert want <= links and all({x, y} <= same for x, y in links - want)
+    (one,) = {r.class_id for r in got if r.doc_id == r.other_id == min(same)}
+    assert {r.doc_id for r in got if r.class_id == one} == same
+
+
+def test_values_in_common(monkeypatch):
+    """Pairs of rows with EQUAL values in common, counted as often as both have them, in one step or many."""
+    rng = np.random.default_rng(24)
+    size = rng.integers(20, 120, 90)
+    values = rng.integers(0, 90, size.sum()) ** 2 // 60
+    parts, group, label = np.split(values, np.cumsum(size)[:-1]), np.arange(90) // 30, rng.integers(0, 12, 90)
+    common = lambda i, j: sum(min((parts[i] == v).sum(), (parts[j] == v).sum()) for v in np.unique(parts[i]))
+    enough = {(i, j) for j in range(90) for i in range(j) if common(i, j) >= passages.EQUAL}
+    pairs = lambda code: {(c >> 32, c & 0xFFFFFFFF) for c in code.tolist()}
+    assert 100 < len(enough) < 3900
+    for step in (passages.CODES, 500):
+        monkeypatch.setattr(passages, "CODES", step)
+        assert pairs(passages.enough_in_common(group, size, values)[0]) == {(i, j) for i, j in enough if group[i] == group[j]}
+        assert pairs(passages.enough_in_group(size, values, label)) == {(i, j) for i, j in enough if label[i] != label[j]}
+
+
 def test_query_links_all_near_copies(spark, tmp_path):
     """The query links every two of six copies that differ from each other in two words."""
     rng = np.random.default_rng(22)
