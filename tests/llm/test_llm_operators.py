@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -778,6 +779,43 @@ def test_values_in_common(monkeypatch):
         assert pairs(passages.enough_in_group(size, values, label)) == {(i, j) for i, j in enough if label[i] != label[j]}
 
 
+def test_large_groups_are_not_held(monkeypatch):
+    """A value that very many nodes have takes memory for a few blocks of them, and still every two with enough around them meet."""
+    for name, x in {"BLOCK": 256, "HELD": 1000, "VALUES": 1 << 16}.items():
+        monkeypatch.setattr(passages, name, x, raising=False)
+    rng = np.random.default_rng(25)
+    n, around = 8000, passages.AROUND
+    near = rng.permutation(n)[:600].reshape(-1, 2)  # two with 40 shingles in common, all others with the line's 20
+    line, more = rng.integers(0, 1 << 32, 20, np.uint32), rng.integers(0, 1 << 32, (300, 20), np.uint32)
+    pair = np.full(n, -1)
+    pair[near] = np.arange(300)[:, None]
+
+    def contexts(k, docs, few=False):
+        shingles = rng.integers(0, 1 << 32, (len(docs), 2 * around + 1), np.uint32)
+        shingles[:, around : around + 20] = line
+        shingles[pair[docs] >= 0, 10:30] = more[pair[docs][pair[docs] >= 0]]
+        data = [(x >> 16).astype(np.uint16).tobytes() if few else x.tobytes() for x in shingles]
+        same = lambda x: [x] * len(docs)
+        cols = (same(k), docs.tolist(), same(500), same(0), same(5), same(14), same(few), same(around), data)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.int32(), pa.binary()))], names=["k", "doc", "c", "reach", "left", "right", "few", "behind", "data"])
+
+    def batches():
+        first = pa.Table.from_batches([contexts(-5, near[0], True), contexts(3, np.arange(100))])
+        last = pa.Table.from_batches([contexts(3, np.arange(7900, n)), contexts(8, near[1], True), contexts(9, np.r_[near[2], np.arange(20)])])
+        yield from first.combine_chunks().to_batches()
+        for lo in range(100, 7900, 300):
+            yield contexts(3, np.arange(lo, lo + 300))
+        yield from last.combine_chunks().to_batches()
+
+    tracemalloc.start()
+    got = [r for b in passages._meet(batches()) for r in zip(*(b.column(x).to_pylist() for x in ("doc", "other")))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = {(max(p), min(p)) for p in near.tolist()}
+    assert set(got) == pairs and len(got) >= len(pairs) + 3
+    assert peak < 30e6, peak
+
+
 def test_query_links_all_near_copies(spark, tmp_path):
     """The query links every two of six copies that differ from each other in two words."""
     rng = np.random.default_rng(22)
